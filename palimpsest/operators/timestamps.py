@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.common import ns
+from palimpsest.functions.common import checkpoint, ns
 
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -83,71 +83,84 @@ def _utc(wall: Column, zone: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone))
 
 
-def candidates(df: DataFrame, text: str, zone: str, date_order: str, abbr: DataFrame) -> DataFrame:
-    """Add ``_cands``, the valid parses of each text as (format, utc_us), and ``_text``."""
+def candidates(df: DataFrame, text: str, zone: str, abbr: DataFrame) -> DataFrame:
+    """Add ``_cands``: the valid parses of each text as (format, utc_us).
+
+    Each text meets one regular expression for its date and one for the rest;
+    their groups come out as one delimited string, so nothing is matched twice.
+    """
     t = F.regexp_replace(F.col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    compact = F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})[Tt ](\d{2})(\d{2})(\d{2})?", "$1-$2-$3T$4:$5:$6")
-    compact = F.regexp_replace(compact, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}):(?!\d)", "$1")
-    df = df.withColumn("_text", t).withColumn("_t", compact)
-    date_end = F.lit("")
-    for _, rx, *_ in DATE_FORMS:
-        date_end = F.when(F.col("_t").rlike(rx), F.regexp_replace("_t", rx, "")).otherwise(date_end)
-    any_date = F.lit(False)
-    for _, rx, *_ in DATE_FORMS:
-        any_date = any_date | F.col("_t").rlike(rx)
-    df = df.withColumn("_rest", F.when(any_date, date_end)).withColumn("_timed", F.col("_rest").rlike(TIME))
-    g = lambda i: F.when(F.col("_timed"), F.regexp_extract("_rest", TIME, i))
+    compact = r"^(\d{4})(\d{2})(\d{2})[Tt ](\d{2})(\d{2})(\d{2})?"
+    t = F.when(t.rlike(compact), F.regexp_replace(F.regexp_replace(t, compact, "$1-$2-$3T$4:$5:$6"), r"^([^:]+:\d{2}):(?!\d)", "$1")).otherwise(t)
+    base = df.columns
+    df = df.select("*", t.alias("_t"))
+    form, parts = None, None
+    for name, rx, gy, gm, gd in DATE_FORMS:
+        if name == "slash_mdy":
+            continue  # the same texts as slash_dmy
+        hit = F.col("_t").rlike(rx)
+        form = F.when(hit, name) if form is None else form.when(hit, name)
+    df = df.select("*", form.alias("_form"))
+    for name, rx, gy, gm, gd in DATE_FORMS:
+        if name == "slash_mdy":
+            continue
+        is_form = F.col("_form") == name
+        cut = F.regexp_replace("_t", rx + "(.*)$", f"${gy}|${gm}|${gd}|$4")
+        parts = F.when(is_form, cut) if parts is None else parts.when(is_form, cut)
+    df = df.select("*", F.split(parts, r"\|", 4).alias("_p"))
+    rest = F.try_element_at("_p", F.lit(4))
+    df = df.select("*", F.when(rest.rlike(TIME), F.split(F.regexp_replace(rest, TIME, "$1|$2|$3|$4|$5|$6|$7"), r"\|")).alias("_q"))
+    part = lambda i: F.try_element_at("_p", F.lit(i))
+    g = lambda i: F.try_element_at("_q", F.lit(i))
     num = lambda c: F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
     hour, ampm = num(g(1)), F.upper(g(5))
     hour = (
         F.when(ampm == "", hour)
-        .when((hour < 1) | (hour > 12), F.lit(99))
+        .when((g(1) == "") | (hour < 1) | (hour > 12), F.lit(99))
         .when(ampm == "AM", hour % 12)
         .otherwise(hour % 12 + 12)
     )
+    month = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
+    named = F.col("_form").isin("month_first", "rfc")
     df = df.select(
-        "*",
-        hour.alias("_h"),
-        num(g(2)).alias("_mi"),
-        num(g(3)).alias("_s"),
-        F.substring(F.rpad(F.coalesce(g(4), F.lit("")), 6, "0"), 1, 6).cast("bigint").alias("_us"),
-        F.upper(g(6)).alias("_z"),
-        g(7).alias("_region"),
-        ((F.coalesce(g(5), F.lit("")) != "") & (F.coalesce(g(1), F.lit("")) == "")).alias("_bare_ampm"),
+        *base, "_t", "_form",
+        part(1).try_cast("int").alias("_y"),
+        F.when(named, month[F.lower(F.substring(part(2), 1, 3))]).otherwise(part(2).try_cast("int")).alias("_mo"),
+        part(3).try_cast("int").alias("_d"),
+        hour.alias("_h"), num(g(2)).alias("_mi"), num(g(3)).alias("_s"),
+        F.substring(F.rpad(g(4), 6, "0"), 1, 6).cast("bigint").alias("_us"),
+        F.upper(g(6)).alias("_z"), g(7).alias("_region"),
     )
     a = abbr.select(F.col("zone").alias("_az"), F.col("abbr").alias("_ab"), F.col("offset").alias("_aoff"))
     df = df.join(F.broadcast(a), (F.col(zone) == F.col("_az")) & (F.col("_z") == F.col("_ab")), "left")
-    num_off = r"^(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?$"
-    oh, om = F.regexp_extract("_z", num_off, 2).try_cast("int"), F.coalesce(F.regexp_extract("_z", num_off, 3).try_cast("int"), F.lit(0))
-    sign = F.when(F.regexp_extract("_z", num_off, 1) == "-", -1).otherwise(1)
+    digits = F.regexp_replace("_z", "[^0-9]", "")
+    oh = F.when(F.length(digits) > 2, F.substring(digits, 1, F.length(digits) - 2)).otherwise(digits).try_cast("int")
+    om = F.when(F.length(digits) > 2, F.substring(digits, -2, 2)).otherwise("0").try_cast("int")
+    sign = F.when(F.contains("_z", F.lit("-")), -1).otherwise(1)
     offset = (
         F.when(F.col("_z").isin("Z", "UTC", "GMT"), F.lit(0))
-        .when(F.col("_z").rlike(num_off) & (oh <= 18) & (om <= 59), sign * (oh * 3600 + om * 60))
+        .when((digits != "") & (oh <= 18) & (om <= 59), sign * (oh * 3600 + om * 60))
         .otherwise(F.col("_aoff"))
     )
-    df = df.withColumn("_off", offset.cast("bigint"))
-    region = F.when(F.col("_region").isin([n for n, *_ in _abbreviations()] + ["UTC", "GMT"]), F.col("_region"))
-    month = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
-    cands = []
-    for name, rx, gy, gm, gd in DATE_FORMS:
-        part = lambda i, rx=rx: F.regexp_extract("_t", rx, i)
-        mo = month[F.lower(F.substring(part(gm), 1, 3))] if name in ("month_first", "rfc") else part(gm).try_cast("int")
-        wall = _wall_us(part(gy).try_cast("int"), mo, part(gd).try_cast("int"), F.col("_h"), F.col("_mi"), F.col("_s"))
-        us = (
-            F.when(F.col("_off").isNotNull(), wall - F.col("_off") * 1_000_000)
-            .when((F.col("_z") == "") & (F.col("_region") == ""), _utc(wall, F.col(zone)))
-            .when((F.col("_z") == "") & region.isNotNull(), _utc(wall, region))
-        )
-        us = F.when(F.col("_timed") & ~F.col("_bare_ampm") & F.col("_t").rlike(rx), us + F.col("_us"))
-        cands.append(F.when(us.isNotNull(), F.struct(F.lit(name).alias("fmt"), us.alias("us"))))
-    number = F.when(F.col("_t").rlike(r"^\d{1,20}(\.\d+)?$"), F.col("_t").try_cast("decimal(38,12)"))
+    region = F.when(F.col("_region") == "", F.col(zone)).when(F.col("_region").isin([*sorted({n for n, *_ in _abbreviations()}), "UTC", "GMT"]), F.col("_region"))
+    df = df.select("*", offset.cast("bigint").alias("_off"), F.when(F.col("_z") == "", region).alias("_in"))
+
+    def instant(mo: str, d: str) -> Column:
+        wall = _wall_us(F.col("_y"), F.col(mo), F.col(d), F.col("_h"), F.col("_mi"), F.col("_s"))
+        return F.when(F.col("_off").isNotNull(), wall - F.col("_off") * 1_000_000).otherwise(_utc(wall, F.col("_in"))) + F.col("_us")
+
+    slash = F.col("_form") == "slash_dmy"
+    number = F.when(F.col("_form").isNull() & F.col("_t").rlike(r"^\d{1,20}(\.\d+)?$"), F.col("_t").try_cast("decimal(38,12)"))
+    df = df.select("*", instant("_mo", "_d").alias("_i1"), F.when(slash, instant("_d", "_mo")).alias("_i2"), number.alias("_n"))
+    cand = lambda name, us: F.when(us.isNotNull(), F.struct(name.alias("fmt"), us.cast("bigint").alias("us")))
+    dated = F.array(cand(F.col("_form"), F.col("_i1")), cand(F.lit("slash_mdy"), F.col("_i2")))
+    epochs = []
     for name, (scale, least) in EPOCH_UNITS.items():
-        inside = (number >= F.lit(least * scale)) & (number < F.lit(EPOCH_END * scale))
-        # whole microseconds are exact: the number of units is scaled before it is cut off
-        us = F.floor(number * (10**6 // scale)) if scale <= 10**6 else F.floor(number / (scale // 10**6))
-        cands.append(F.when(inside, F.struct(F.lit(name).alias("fmt"), us.cast("bigint").alias("us"))))
-    df = df.withColumn("_cands", F.array_compact(F.array(*cands)))
-    return df.drop("_t", "_rest", "_timed", "_h", "_mi", "_s", "_us", "_z", "_region", "_bare_ampm", "_az", "_ab", "_aoff", "_off")
+        inside = (F.col("_n") >= F.lit(least * scale)) & (F.col("_n") < F.lit(EPOCH_END * scale))
+        us = F.floor(F.col("_n") * (10**6 // scale)) if scale <= 10**6 else F.floor(F.col("_n") / (scale // 10**6))
+        epochs.append(F.when(inside, cand(F.lit(name), us)))
+    none = F.array().cast("array<struct<fmt:string,us:bigint>>")
+    return df.select(*base, F.when(F.col("_form").isNotNull(), F.array_compact(dated)).when(F.col("_n").isNotNull(), F.array_compact(F.array(*epochs))).otherwise(none).alias("_cands"))
 
 
 _POSTERIOR = T.StructType(
@@ -220,8 +233,9 @@ def normalise_timestamps(
     one = one.groupBy("source_table", "record_id").agg(F.min(F.struct(F.col("loaded_at").isNull().alias("late"), "loaded_at", F.col("text").isNull().alias("none"), "text", "namespace")).alias("r"))
     one = one.select("source_table", "record_id", "r.text", "r.namespace")
     one = one.join(zones, F.col("namespace") == F.col("_zn"), "left").drop("_zn").withColumn("_zone", F.coalesce("_zone", F.lit("UTC")))
-    parsed = candidates(one, "text", "_zone", "_order", abbr)
-    parsed = parsed.withColumn("_sig", F.array_join(F.transform("_cands", lambda c: c["fmt"]), ","))
+    parsed = candidates(one, "text", "_zone", abbr)
+    # read twice, by the counts and by the choice: written once instead of parsed twice
+    parsed = checkpoint(parsed.withColumn("_sig", F.array_join(F.transform("_cands", lambda c: c["fmt"]), ",")))
     counts = (
         parsed.filter("_sig != ''")
         .groupBy("source_table", "namespace", F.col("_sig").alias("signature"))
