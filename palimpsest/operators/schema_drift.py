@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions.common import checkpoint
+
 #: The names under which the writers have kept each field.
 ALIASES = {
     "id": ["id"],
@@ -86,44 +88,59 @@ def lifespans(fields: DataFrame) -> DataFrame:
     )
 
 
+def _renames(exports: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of a field that goes and one that comes whose values agree in every memory of both files."""
+    lines = _lines(exports).filter("v is not null")
+    # a line is the new side of its own file's step and the old side of the next one
+    sides = lines.select(
+        "producer", F.try_variant_get("v", "$.id", "string").alias("memory_id"), "v",
+        F.explode(F.array(F.struct(F.col("file_no").alias("file_no"), F.lit(False).alias("old")), F.struct((F.col("file_no") + 1).alias("file_no"), F.lit(True).alias("old")))).alias("s"),
+    ).filter("memory_id is not null")
+    met = sides.select("producer", "s.file_no", "s.old", "memory_id", "v").join(pairs, ["producer", "file_no"])
+    x = F.try_element_at(F.expr("cast(v as map<string, variant>)"), F.when(F.col("old"), F.col("field_before")).otherwise(F.col("field_after")))
+    met = met.withColumn("x", x)
+    value = F.when(F.schema_of_variant("x") != "VOID", F.to_json("x"))
+    keys = ["producer", "file_no", "field_before", "field_after"]
+    met = met.select(*keys, "memory_id", "old", value.alias("value"))
+    one = met.groupBy(*keys, "memory_id").agg(
+        F.min(F.when(F.col("old"), F.col("value"))).alias("before"),
+        F.min(F.when(~F.col("old"), F.col("value"))).alias("after"),
+        F.max(F.col("old")).alias("in_old"), F.max(~F.col("old")).alias("in_new"),
+    ).filter("in_old and in_new")
+    return one.groupBy(*keys).agg(F.min(F.col("before").eqNullSafe(F.col("after"))).alias("agree"), F.count("before").alias("n")).filter("agree and n > 0").select(*keys, F.lit(True).alias("same"))
+
+
 def schema_changes(exports: DataFrame) -> DataFrame:
-    """producer, file_no, field_before, field_after, change_kind, kind_before, kind_after."""
-    cells = field_values(exports)
-    fields = file_fields(cells)
+    """producer, file_no, field_before, field_after, change_kind, kind_before, kind_after.
+
+    The data are read twice: for the catalogue, and for the values of fields at
+    a change. What lies between is one row for each island and is checkpointed.
+    """
+    fields = checkpoint(file_fields(field_values(exports)))
     spans = lifespans(fields)
     files = fields.select("producer", "file_no").distinct()
-    before = files.select("producer", (F.col("file_no") + 1).alias("file_no"))
-    steps = files.join(before, ["producer", "file_no"])  # both files are there
-    starts = spans.select("producer", "field", F.col("first_file").alias("file_no"), F.col("kind").alias("kind_after"))
-    ends = spans.select("producer", "field", (F.col("last_file") + 1).alias("file_no"), F.col("kind").alias("kind_before"))
-    edge = starts.withColumn("s", F.lit(True)).join(ends.withColumn("e", F.lit(True)), ["producer", "field", "file_no"], "full").join(steps, ["producer", "file_no"], "left_semi")
-    typed = edge.filter("s and e and kind_before is not null and kind_after is not null and kind_before <> kind_after")
-    # an island broken only by a file whose values are all null has no type of its own: compare with that file
-    gone = edge.filter("e and s is null").select("producer", "file_no", F.col("field").alias("field_before"), "kind_before")
-    come = edge.filter("s and e is null").select("producer", "file_no", F.col("field").alias("field_after"), "kind_after")
+    steps = files.join(files.select("producer", (F.col("file_no") + 1).alias("file_no")), ["producer", "file_no"])
+    # each island gives the step at which it starts and the one at which it ends
+    ends = spans.select(
+        "producer", "field",
+        F.explode(F.array(
+            F.struct(F.col("first_file").alias("file_no"), F.lit(None).cast("string").alias("kind_before"), F.lit(False).alias("ends"), F.col("kind").alias("kind_after"), F.lit(True).alias("starts")),
+            F.struct((F.col("last_file") + 1).alias("file_no"), F.col("kind").alias("kind_before"), F.lit(True).alias("ends"), F.lit(None).cast("string").alias("kind_after"), F.lit(False).alias("starts")),
+        )).alias("e"),
+    ).select("producer", "field", "e.*")
+    edge = ends.groupBy("producer", "file_no", "field").agg(F.max("ends").alias("ends"), F.max("starts").alias("starts"), F.max("kind_before").alias("kind_before"), F.max("kind_after").alias("kind_after"))
+    edge = checkpoint(edge.join(steps, ["producer", "file_no"], "left_semi"))
+    gone = edge.filter("ends and not starts").select("producer", "file_no", F.col("field").alias("field_before"), "kind_before")
+    come = edge.filter("starts and not ends").select("producer", "file_no", F.col("field").alias("field_after"), "kind_after")
     pairs = gone.join(come, ["producer", "file_no"])
-    # values by memory: what the field that goes had, what the one that comes has; absent is null
-    at_pairs = pairs.select("producer", "file_no").distinct()
-    side = lambda off: cells.filter("memory_id is not null").withColumn("file_no", F.col("file_no") + off).join(at_pairs, ["producer", "file_no"], "left_semi")
-    old, new = side(1), side(0)
-    mem = lambda c: c.select("producer", "file_no", "memory_id").distinct()
-    common = mem(old).join(mem(new), ["producer", "file_no", "memory_id"])
-    val = lambda c, name: c.groupBy("producer", "file_no", "memory_id", F.col("field").alias(f"field_{name}")).agg(F.min("value").alias(f"value_{name}"))
-    grid = common.join(pairs, ["producer", "file_no"])
-    grid = grid.join(val(old, "before"), ["producer", "file_no", "memory_id", "field_before"], "left").join(val(new, "after"), ["producer", "file_no", "memory_id", "field_after"], "left")
-    renamed = (
-        grid.groupBy("producer", "file_no", "field_before", "field_after", "kind_before", "kind_after")
-        .agg(F.min(F.col("value_before").eqNullSafe(F.col("value_after"))).alias("agree"), F.count("value_before").alias("n"))
-        .filter("agree and n > 0")
-        .drop("agree", "n")
-    )
-    gone_only = gone.join(renamed.select("producer", "file_no", "field_before"), ["producer", "file_no", "field_before"], "left_anti")
-    come_only = come.join(renamed.select("producer", "file_no", "field_after"), ["producer", "file_no", "field_after"], "left_anti")
-    none = F.lit(None).cast("string")
+    pairs = checkpoint(pairs.join(_renames(exports, pairs.drop("kind_before", "kind_after")), ["producer", "file_no", "field_before", "field_after"]))
+    gone_only = gone.join(pairs.select("producer", "file_no", "field_before"), ["producer", "file_no", "field_before"], "left_anti")
+    come_only = come.join(pairs.select("producer", "file_no", "field_after"), ["producer", "file_no", "field_after"], "left_anti")
+    typed = edge.filter("starts and ends and kind_before <> kind_after")
+    none, c = F.lit(None).cast("string"), F.col
     shape = lambda d, b, a, k, kb, ka: d.select("producer", "file_no", b.alias("field_before"), a.alias("field_after"), F.lit(k).alias("change_kind"), kb.alias("kind_before"), ka.alias("kind_after"))
-    c = F.col
     parts = [
-        shape(renamed, c("field_before"), c("field_after"), "renamed", c("kind_before"), c("kind_after")),
+        shape(pairs, c("field_before"), c("field_after"), "renamed", c("kind_before"), c("kind_after")),
         shape(gone_only, c("field_before"), F.lit(""), "removed", c("kind_before"), none),
         shape(come_only, F.lit(""), c("field_after"), "added", none, c("kind_after")),
         shape(typed, c("field"), c("field"), "type_changed", c("kind_before"), c("kind_after")),
