@@ -1,8 +1,10 @@
 """Queries of the subpackage and the SQL of those that SQL can express."""
 
-from palimpsest.llm import near_duplicates, tokenize
+from palimpsest.llm import near_duplicates, tokenize, vectors
 
 QUERIES = {
+    "p4_found": vectors.p4_found,
+    "p4_neighbours": vectors.p4_neighbours,
     "p5_found": near_duplicates.p5_found,
     "p5_groups": near_duplicates.p5_groups,
     "p8_ids": tokenize.p8_ids,
