@@ -1,8 +1,10 @@
 """Queries of the subpackage and the SQL of those that SQL can express."""
 
-from palimpsest.llm import near_duplicates, tokenize, vectors
+from palimpsest.llm import name_variants, near_duplicates, tokenize, vectors
 
 QUERIES = {
+    "p3_found": name_variants.p3_found,
+    "p3_entities": name_variants.p3_entities,
     "p4_found": vectors.p4_found,
     "p4_neighbours": vectors.p4_neighbours,
     "p5_found": near_duplicates.p5_found,
