@@ -1,8 +1,10 @@
 """Queries of the subpackage and the SQL of those that SQL can express."""
 
-from palimpsest.llm import name_variants, near_duplicates, tokenize, vectors
+from palimpsest.llm import name_variants, near_duplicates, pii, tokenize, vectors
 
 QUERIES = {
+    "p2_found": pii.p2_found,
+    "p2_redacted": pii.p2_redacted,
     "p3_found": name_variants.p3_found,
     "p3_entities": name_variants.p3_entities,
     "p4_found": vectors.p4_found,
