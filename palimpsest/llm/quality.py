@@ -239,7 +239,8 @@ def quality(df: DataFrame, key: str = "doc_id", text: str = "text", *, cutoff: f
     # start: within a few deviations of the language's median in every statistic
     x = [F.col("stats")[i] for i in range(len(STATS))]
     medians = stats.groupBy("language").agg(F.array(*[F.percentile_approx(v, 0.5, 1000) for v in x]).alias("median"))
-    near = stats.join(F.broadcast(medians), "language")
+    # texts without a word of any language are no prose to learn from; they are measured against the fit of all
+    near = stats.filter("language <> 'none'").join(F.broadcast(medians), "language")
     floors = F.array(*[F.lit(6 * v) for v in FLOORS.values()])
     core = near.filter(F.forall(F.arrays_zip("stats", "median", floors.alias("f")), lambda z: F.abs(z["stats"] - z["median"]) <= z["f"])).select("language", "stats")
     fits = _parameters(_fit_sums(core), least)
@@ -248,7 +249,7 @@ def quality(df: DataFrame, key: str = "doc_id", text: str = "text", *, cutoff: f
     total = lambda keep: F.aggregate(F.array(*[F.col("contributions")[i] for i in keep]), F.lit(0.0), lambda a, b: a + b)
     every = range(len(STATS))
     for _ in range(steps):
-        inside = _contributions(stats, fits).filter(total(every) <= cutoff)
+        inside = _contributions(stats, fits).filter((total(every) <= cutoff) & (F.col("language") != "none"))
         fits = _parameters(_fit_sums(inside), least) or fits
     out = _contributions(stats, fits).withColumn("distance", total(every))
     share = lambda n: F.col("stats")[STATS.index(n)]
