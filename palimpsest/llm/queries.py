@@ -1,8 +1,10 @@
 """Queries of the subpackage and the SQL of those that SQL can express."""
 
-from palimpsest.llm import name_variants, near_duplicates, pii, quality, tokenize, vectors
+from palimpsest.llm import name_variants, near_duplicates, packing, pii, quality, tokenize, vectors
 
 QUERIES = {
+    "p9_assignments": packing.p9_assignments,
+    "p9_fill": packing.p9_fill,
     "p10_found": quality.p10_found,
     "p10_stats": quality.p10_stats,
     "p2_found": pii.p2_found,
