@@ -216,7 +216,10 @@ def link_mentions(people: DataFrame) -> DataFrame:
     """(id, namespace, entity): mentions that mean the same person or organisation share ``entity``. ``people``: see ``mentions``."""
     parsed = people.withColumn("p", parse_names("name", F.coalesce("entity_type", F.lit("")))).select("id", "namespace", "city", "team", "p.*").filter("kind is not null and key <> ''")
     parts = ["namespace", "kind", "key", "given", "initial", "middle", "business"]
-    parsed = checkpoint(parsed.withColumn("node", F.sha2(F.concat_ws("\u0001", *parts), 256)))
+    # an initial says little: with it, the attributes belong to what makes a class
+    short = (F.col("kind") == "person") & (F.col("given") == "")
+    more = [F.when(short, F.coalesce(c, F.lit(""))).otherwise("") for c in ("city", "team")]
+    parsed = checkpoint(parsed.withColumn("node", F.sha2(F.concat_ws("\u0001", *parts, *more), 256)))
     # a class keeps one city and team; where they differ the attribute tells nothing
     single = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
     classes = checkpoint(parsed.groupBy("node", *parts).agg(single("city"), single("team")))
