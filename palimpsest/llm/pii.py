@@ -44,7 +44,7 @@ ANNOUNCED = (
     r"|resident id(?:entity)?(?: (?:number|card))?|id card|identity (?:card|number)|身份证(?:号码?)?|personalausweis|reisepass|pasaporte|护照)"
 )
 ID_FORMS = r"(?:\d{17}[\dXx]|\d{3}[- ]\d{2}[- ]\d{4}|[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Da-d]|[XYZxyz]-?\d{7}-?[A-Za-z]|\d{8}-?[A-Za-z]|[A-Za-z]{1,2}\d{7,8}|\d{9})"
-ID_AFTER_WORD = regex.compile(rf"(?<!\w){ANNOUNCED}(?:[\s:(=#]|is|was|are|given|in|the|chat|no\.?|number|of|my|her|his|their){{0,12}}(?<![\w])({ID_FORMS})(?![\w]|-\d)", regex.I)
+ID_AFTER_WORD = regex.compile(rf"(?<!\w){ANNOUNCED}(?:[\s:(=#,]|is|was|are|given|in|the|chat|no\.?|number|of|my|her|his|their){{0,12}}(?<![\w])({ID_FORMS})(?![\w]|-\d)", regex.I)
 RESIDENT = regex.compile(r"(?<![\w.-])\d{17}[\dXx](?![\w]|-\d)")
 #: What a long number may count or name when it is no person's.
 THING = regex.compile(r"(?:order|event|invoice|trace|shipment|batch|ticket|parcel|sku|serial|part|tag|code|account|tracking|transaction)(?: (?:number|no\.?|id|#))*[\s:#]*$", regex.I)
@@ -63,7 +63,7 @@ ADDRESS = regex.compile(
 )
 PHONE = regex.compile(
     r"(?<![\w.+/\-])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,5}(?:[ ./\-]?\d{2,8}){1,4}"
-    r"|00\d{1,3}[ .\-]?(?:\(0\) ?)?\d{1,5}(?:[ ./\-]?\d{2,8}){1,3}"
+    r"|00\d{1,3}[ .](?:\(0\) ?)?\d{1,5}(?:[ ./\-]?\d{2,8}){1,3}|00[1-9]\d{9,13}"
     r"|\(0?\d{2,4}\)[ ]?\d{3,4}[ .\-]\d{3,5}"
     r"|0\d{1,4}[ /\-]\d{3,8}(?:[ \-]\d{2,5}){0,2}"
     r"|\d{3}([.\-])\d{3}\1\d{4})(?![\w]|[.\-/]\d)"
