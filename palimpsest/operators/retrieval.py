@@ -367,6 +367,7 @@ _COS = "list_sum(list_transform(list_zip(v, q), lambda z: z[1]::double * z[2]::d
 _VEC = f"""us as (select memory_id as id, min(embedding) as v from memory_embeddings where model = 'nimbus-embed-64' and len(embedding) = 64 and memory_id is not null and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
  qv as (select arg_min(v, id) as q from us), vs as (select id, {_COS} as cosine from us, qv)"""
 _F = _LIVE + ", " + _bm25_sql("ft", "live", "content", TERMS)
+FULL_TEXT_SQL = _F
 _L = _F + ", " + _VEC + ", fl as (select id, row_number() over (order by round(score, 6) desc, id) as f_rank from ft qualify f_rank <= 30), vl as (select id, round(cosine, 6) as cos, row_number() over (order by round(cosine, 6) desc, id) as v_rank from vs qualify v_rank <= 30), j as (select coalesce(fl.id, vl.id) as id, f_rank, v_rank, cos, coalesce((cos + 1) / 2, 0.0::double) as vec, coalesce(1 - (f_rank - 1) / 30.0::double, 0.0::double) as txt from fl full join vl on fl.id = vl.id)"
 
 
