@@ -119,8 +119,8 @@ def merge_dimensions(spark: SparkSession, d: str) -> DataFrame:
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Byte-folded vectors of four places for summaries: place i mod 4 collects (byte - 128) / 128; scaled to length one."""
-    m = store.memories(spark, d, "summary").filter("summary is not null and summary rlike '^[ -~]{1,400}$'")
-    codes = F.transform(F.split("summary", ""), lambda c: (F.ascii(c) - 128) / 128.0)
+    m = store.memories(spark, d, "summary").filter("summary <> ''").withColumn("h", F.hex("summary"))
+    codes = F.transform(F.sequence(F.lit(0), (F.length("h") / 2).cast("int") - 1), lambda i: (F.conv(F.substr(F.col("h"), (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int") - 128) / 128.0)
     m = m.select("id", *[_place(codes, k).alias(f"p{k}") for k in range(4)])
     norm = F.sqrt(sum((F.col(f"p{k}") * F.col(f"p{k}") for k in range(4)), F.lit(0.0)))
     return m.select("id", *[F.round(F.col(f"p{k}") / norm, 6).alias(f"e{k}") for k in range(4)])
@@ -161,7 +161,7 @@ def _q(ctes: str, body: str) -> str:
     return sql("") + ", " + ctes + " " + body
 
 
-_CODES = "list_transform(regexp_split_to_array(summary, ''), lambda c: (ascii(c) - 128) / 128.0::double)"
+_CODES = "list_transform(range(0, length(h) // 2), lambda i: (('0x' || substring(h, 2 * i + 1, 2))::int - 128) / 128.0::double)"
 SQL = {
     "discover_associations": _q(
         """dm as (select distinct memory_id, entity_id from me), lm as (select lower(id) as id, created from m where deleted_at is null),
@@ -179,7 +179,7 @@ SQL = {
     "signal_levels": "with b as (select *, avg(value) over w as mean, stddev_samp(value) over w as std, count(value) over w as n from events window w as (partition by event_type order by ts, event_id rows between 50 preceding and 1 preceding)), z as (select event_type as domain, abs((value - mean) / std) as z from b where n >= 20 and std > 0) select domain, case when z < 1.5 then 'normal' when z < 2.5 then 'elevated' when z < 3.5 then 'high' else 'extreme' end as level, count(*) as n from z group by 1, 2",
     "global_arousal": "select count(*) as n, round(avg(least(1.0::double, value / 100)), 6) as arousal from (select value from events order by ts desc, event_id desc limit 50)",
     "merge_dimensions": sql("select namespace, sha256(content) as content_hash, count(*) as n, max(struct_pack(len := length(coalesce(summary, '')), s := coalesce(summary, ''))).s as summary, max(core_strength) as core_strength, min(importance) as importance, count(distinct case when trim(source) <> '' then source end) as n_sources from m where trim(content) <> '' group by 1, 2 having count(*) > 1"),
-    "hash_embedding": sql("") + f", c as (select id, {_CODES} as codes from m where regexp_full_match(summary, '[ -~]{{1,400}}')), p as (select id, " + ", ".join(f"list_sum(list_transform(codes, lambda x, i: case when (i - 1) % 4 = {k} then x else 0.0::double end)) as p{k}" for k in range(4)) + " from c) select id, " + ", ".join(f"round(p{k} / sqrt(p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3), 6) as e{k}" for k in range(4)) + " from p",
+    "hash_embedding": sql("") + f", c as (select id, {_CODES} as codes from (select id, hex(summary) as h from m where summary <> '')), p as (select id, " + ", ".join(f"list_sum(list_transform(codes, lambda x, i: case when (i - 1) % 4 = {k} then x else 0.0::double end)) as p{k}" for k in range(4)) + " from c) select id, " + ", ".join(f"round(p{k} / sqrt(p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3), 6) as e{k}" for k in range(4)) + " from p",
     "privacy_matrix": sql("") + ", l as (select case when importance >= 0.8 then 'private' when importance >= 0.5 then 'internal' else 'public' end as level from m), a as (select * from (values ('owner', 'public'), ('owner', 'internal'), ('owner', 'private'), ('team', 'public'), ('team', 'internal'), ('guest', 'public')) t(context, level)) select context, count(*) as n_visible from l join a using (level) group by 1",
     "stdp_net": sql("select id, count(*) as n_links, sum(net)::bigint as net from (select source_id as id, temporal_forward - temporal_backward as net from hl union all select target_id, temporal_backward - temporal_forward from hl) group by 1"),
 }
