@@ -224,11 +224,13 @@ def normalise_timestamps(
 
     ``records`` has source_table, record_id, text, namespace and loaded_at.
     ``namespaces`` has namespace, home_zone and date_order; a namespace that it
-    lacks has the zone UTC and no declared order, so the mixture decides.
+    lacks has the zone UTC and no declared order, so the mixture decides; a
+    zone that is not in the zone database counts as UTC.
     """
     spark = records.sparkSession
     abbr = spark.createDataFrame(_abbreviations(), "zone string, abbr string, offset int")
-    zones = namespaces.groupBy(F.col("namespace").alias("_zn")).agg(F.first("home_zone", True).alias("_zone"), F.first("date_order", True).alias("_order"))
+    zones = namespaces.groupBy(F.col("namespace").alias("_zn")).agg(F.min("home_zone").alias("_zone"), F.min("date_order").alias("_order"))
+    zones = zones.withColumn("_zone", F.when(F.col("_zone").isin([*sorted({n for n, *_ in _abbreviations()}), "UTC"]), F.col("_zone")))
     one = records.select("source_table", "record_id", "text", ns().alias("namespace"), "loaded_at")
     one = one.groupBy("source_table", "record_id").agg(F.min(F.struct(F.col("loaded_at").isNull().alias("late"), "loaded_at", F.col("text").isNull().alias("none"), "text", "namespace")).alias("r"))
     one = one.select("source_table", "record_id", "r.text", "r.namespace")

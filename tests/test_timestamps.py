@@ -6,7 +6,7 @@ from palimpsest.operators.timestamps import normalise_timestamps
 
 UTC = datetime.timezone.utc
 SCHEMA = "source_table string, record_id string, text string, namespace string, loaded_at timestamp_ntz"
-NS = [("berlin", "Europe/Berlin", "dmy"), ("ny", "America/New_York", "mdy"), ("default", "UTC", "mdy"), ("open", "UTC", None)]
+NS = [("berlin", "Europe/Berlin", "dmy"), ("ny", "America/New_York", "mdy"), ("default", "UTC", "mdy"), ("open", "UTC", None), ("odd", "Not/AZone", "dmy")]
 
 
 def us(*a):
@@ -18,6 +18,8 @@ CASES = [
     ("  2024-03-01t12:00:00.5z ", "berlin", us(2024, 3, 1, 12) + 500000),
     ("2024-03-01 12:00:00", "berlin", us(2024, 3, 1, 11)),
     ("2024-07-01 12:00", "berlin", us(2024, 7, 1, 10)),
+    ("2024-07-01 12:00", "odd", us(2024, 7, 1, 12)),
+    ("2024-07-01 12:00", "nowhere", us(2024, 7, 1, 12)),
     ("2024-07-01", "ny", us(2024, 7, 1, 4)),
     ("2024-10-27 02:30:00", "berlin", us(2024, 10, 27, 0, 30)),  # twice: the first
     ("2024-03-31 02:30:00", "berlin", us(2024, 3, 31, 1, 30)),  # skipped: moves on
