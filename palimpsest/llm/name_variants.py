@@ -230,24 +230,28 @@ def link_mentions(people: DataFrame) -> DataFrame:
     pairs = near.join(as_("x").withColumnRenamed("x_key", "a"), ["namespace", "kind", "a"]).join(as_("y").withColumnRenamed("y_key", "b"), ["namespace", "kind", "b"])
     full = (F.col("x_given") != "") & (F.col("y_given") != "") & _given_fits("x_given", "y_given")
     org = (F.col("kind") == "organisation") & _fits("x_business", "y_business")
+    person = (F.col("kind") == "person") & _fits("x_middle", "y_middle")
     apart = F.coalesce((F.col("x_city") != F.col("y_city")) | (F.col("x_team") != F.col("y_team")), F.lit(False))
-    same = pairs.filter("x_node < y_node").filter(~apart).filter(F.when(F.col("kind") == "person", full & _fits("x_middle", "y_middle")).otherwise(org))
-    comp = connected_components(same.select(F.col("x_node").alias("src"), F.col("y_node").alias("dst")))
-    named = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # names with an initial: the component they fit, if there is one only or one that agrees in an attribute
+    ordered = F.col("x_node") < F.col("y_node")
     starts = F.exists(F.split("y_given", r"\|"), lambda g: g.startswith(F.col("x_initial")))
-    asks = pairs.filter("kind = 'person' and x_given = '' and y_given <> ''").filter(starts & _fits("x_middle", "y_middle"))
-    asks = asks.join(named.select(F.col("node").alias("y_node"), F.col("component")), "y_node")
     agree = F.coalesce((F.col("x_city") == F.col("y_city")).cast("int"), F.lit(0)) + F.coalesce((F.col("x_team") == F.col("y_team")).cast("int"), F.lit(0))
-    clash = (F.col("x_city") != F.col("y_city")) | (F.col("x_team") != F.col("y_team"))
-    asks = asks.groupBy("x_node", "component").agg(F.max(agree).alias("agree"), F.max(F.coalesce(clash, F.lit(False))).alias("clash")).filter("not clash")
-    best = asks.groupBy("x_node").agg(F.max_by("component", "agree").alias("joins"), F.count("*").alias("n"), F.max("agree").alias("top"), F.sum((F.col("agree") == 0).cast("int")).alias("zero"))
-    best = best.filter((F.col("n") == 1) | ((F.col("top") > 0) & (F.col("zero") == F.col("n") - 1))).select(F.col("x_node").alias("src"), F.col("joins").alias("dst"))
+    # what a pair of classes is: the same name, an initial asking for its full name, or two initials
+    tie = (
+        F.when(ordered & ~apart & (org | (person & full)), "same")
+        .when(person & (F.col("x_given") == "") & (F.col("y_given") != "") & starts, "ask")
+        .when(ordered & ~apart & person & (F.col("x_given") == "") & (F.col("y_given") == "") & (F.col("x_initial") == F.col("y_initial")), "lone")
+    )
+    ties = checkpoint(pairs.select("x_node", "y_node", tie.alias("tie"), agree.alias("agree"), apart.alias("apart")).filter("tie is not null"))
+    edge = lambda df, a, b: df.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    comp = connected_components(edge(ties.filter("tie = 'same'"), "x_node", "y_node"))
+    # names with an initial: the component they fit, if there is one only or one that agrees in an attribute
+    asks = ties.filter("tie = 'ask'").join(comp, F.col("y_node") == F.col("node"), "left").withColumn("component", F.coalesce("component", "y_node"))
+    asks = asks.groupBy("x_node", "component").agg(F.max("agree").alias("agree"), F.max("apart").alias("clash")).filter("not clash")
+    best = asks.groupBy("x_node").agg(F.max_by("component", F.struct("agree", "component")).alias("joins"), F.count("*").alias("n"), F.max("agree").alias("top"), F.sum((F.col("agree") == 0).cast("int")).alias("zero"))
+    best = checkpoint(best.filter((F.col("n") == 1) | ((F.col("top") > 0) & (F.col("zero") == F.col("n") - 1))).select("x_node", "joins"))
     # initials that fit nothing alone still mean each other when everything agrees
-    lone = pairs.filter("x_node < y_node and kind = 'person' and x_given = '' and y_given = '' and x_initial = y_initial").filter(_fits("x_middle", "y_middle"))
-    lone = lone.join(best.select(F.col("src").alias("x_node")), "x_node", "left_anti").join(best.select(F.col("src").alias("y_node")), "y_node", "left_anti")
-    lone = lone.filter(~apart)
-    more = connected_components(named.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(best).unionByName(lone.select(F.col("x_node").alias("src"), F.col("y_node").alias("dst"))))
+    lone = ties.filter("tie = 'lone'").select("x_node", "y_node").join(best.select("x_node"), "x_node", "left_anti").join(best.select(F.col("x_node").alias("y_node")), "y_node", "left_anti")
+    more = connected_components(edge(comp.filter("node <> component"), "node", "component").unionByName(edge(best, "x_node", "joins")).unionByName(edge(lone, "x_node", "y_node")))
     final = classes.select("node").join(more, "node", "left").select("node", F.coalesce("component", "node").alias("entity"))
     return parsed.select("id", "namespace", "node").join(final, "node").select("id", "namespace", "entity")
 
