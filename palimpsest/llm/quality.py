@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,10 @@ SENTENCE = regex.compile(r"[.!。！;；,，:：]$|[.!?]\s+\p{Lu}|[。！？；]
 #: What text becomes when UTF-8 is read as a one-byte code and written again.
 MOJIBAKE = regex.compile(r"Ã[\u0080-¿ƒ‚„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ]|Â[\u0080-¿]|â€|�|Ð[\u0080-¿]")
 SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"“”‘’()\-–—。，、！？；：「」『』（）…]")
+ASSIGNED = regex.compile(r"(?<!\S)[\w.\-]+=")
+GAP = regex.compile(r"\S(?:\s{2,})(?=\S)")
+BREAK = regex.compile(r"\r\n|[\n\r\u2028\u2029\x0b\x0c]")
+DIGITS, UPPER = regex.compile(r"\d+"), regex.compile(r"\p{Lu}+")
 VOWEL = regex.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûæøåœ]", regex.I)
 
 STATS = (
@@ -75,11 +80,9 @@ def _delimiters(line: str) -> tuple[str, int]:
         n = line.count(d)
         if n >= 2 or (n and d == "\t"):
             return d, n
-    pairs = len(regex.findall(r"(?<!\S)[\w.\-]+=", line))
-    if pairs >= 2:
+    if "=" in line and (pairs := len(ASSIGNED.findall(line))) >= 2:
         return "=", pairs
-    gaps = len(regex.findall(r"\S(?:\s{2,})(?=\S)", line))
-    if gaps >= 2:
+    if "  " in line and (gaps := len(GAP.findall(line))) >= 2:
         return "  ", gaps
     n = line.count(",")
     if n >= 2 and line.count(", ") <= n // 3:
@@ -118,19 +121,26 @@ def line_kinds(lines: list[str]) -> list[str]:
     return kinds
 
 
+@lru_cache(maxsize=100_000)
+def odd_word(word: str) -> bool:
+    """Whether a word has hardly a vowel."""
+    return len(VOWEL.findall(word)) < 0.2 * len(word)
+
+
 def text_stats(text: str | None) -> tuple[str, list[float]] | None:
     """(language, statistics in the order of STATS), null for a text without content."""
     if text is None or not text.strip():
         return None
-    lines = [x for x in regex.split(r"\r\n|[\n\r  \x0b\x0c]", text) if x.strip()]
+    lines = [x for x in BREAK.split(text) if x.strip()]
     chars = sum(len(x.strip()) for x in lines)
-    words = [w.lower() for w in WORD.findall(text)]
+    words = WORD.findall(text.lower())
+    count = Counter(words)
     cjk = len(CJK.findall(text))
-    letters = sum(len(w) for w in words)
-    hits = {k: sum(map(s.__contains__, words)) for k, s in _COMMON_SETS.items()}
+    letters = len("".join(words))
+    hits = {k: sum(count[w] for w in s if w in count) for k, s in _COMMON_SETS.items()}
     best = max(sorted(hits), key=lambda k: hits[k])
     lang = "zh" if cjk > 0.3 * max(1, letters) else best if hits[best] else "none"
-    dense = max(1, sum(not c.isspace() for c in text)) if len(text) < 4096 else max(1, len(text) - len(regex.findall(r"\s", text)))
+    dense = max(1, sum(map(len, text.split())))
     kinds = line_kinds(lines)
     share = {k: 0 for k in ("list", "table", "machine", "text")}
     for k, x in zip(kinds, lines):
@@ -149,8 +159,8 @@ def text_stats(text: str | None) -> tuple[str, list[float]] | None:
         n_words = max(1, len(words))
         common = hits.get(lang, 0) / n_words
         mean = letters / n_words
-        long = [w for w in words if len(w) > 3]
-        odd = sum(len(VOWEL.findall(w)) < 0.2 * len(w) for w in long) / max(1, len(long))
+        long = {w: n for w, n in count.items() if len(w) > 3}
+        odd = sum(n for w, n in long.items() if odd_word(w)) / max(1, sum(long.values()))
         top = Counter(zip(words, words[1:]))
     pairs = max(1, sum(top.values()))
     again = max(top.values(), default=0) / pairs if pairs > 8 else 0.0
@@ -158,8 +168,8 @@ def text_stats(text: str | None) -> tuple[str, list[float]] | None:
     values = [
         min(mean, 40.0),
         len(SYMBOL.findall(text)) / dense,
-        sum(min(8, len(x)) for x in regex.findall(r"\d+", text)) / dense,
-        sum(map(len, regex.findall(r"\p{Lu}+", text))) / max(1, letters),
+        sum(min(8, len(x)) for x in DIGITS.findall(text)) / dense,
+        len("".join(UPPER.findall(text))) / max(1, letters),
         punctuated,
         common,
         min(1.0, len(STOP.findall(text)) / n_words),
