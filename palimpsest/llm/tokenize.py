@@ -21,6 +21,7 @@ from __future__ import annotations
 import array
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -34,9 +35,17 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pre-token pattern of the public byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII only, in the faster standard library.
+ASCII = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+ANY = regex.compile(PATTERN).findall
 MAX_KEPT = 400_000
 
 
+def split(text: str) -> list[str]:
+    """The pre-tokens of a text; joined they are the text."""
+    return ASCII(text) if text.isascii() else ANY(text)
+
+
 class PrefixEncoder(dict):
     """Ids of pre-tokens, encoded when first looked up."""
 
@@ -44,8 +53,8 @@ class PrefixEncoder(dict):
         super().__init__()
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.split = regex.compile(PATTERN).findall
+        self.endings = {k[i:] for k in ranks for i in range(len(k))}
+        self.split = split
         self.valid_pair = lru_cache(maxsize=1 << 20)(self._valid_pair)
         self.valid_token = lru_cache(maxsize=1 << 17)(lambda t: self.merge(self.bytes_of[t]) == [t])
 
@@ -66,10 +75,18 @@ class PrefixEncoder(dict):
         """The last token of each non-empty prefix; continues a table of a shorter piece."""
         table = table if table is not None else []
         ranks = self.ranks
+        endings = self.endings
         for end in range(len(table) + 1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = ranks.get(piece[start:end])
-                if t is not None and self.valid_token(t) and (start == 0 or self.valid_pair(table[start - 1], t)):
+            # tokens that end here, shorter ones first; nothing longer can follow what ends no token
+            found = []
+            for start in range(end - 1, -1, -1):
+                part = piece[start:end]
+                if part not in endings:
+                    break
+                if part in ranks:
+                    found.append((start, ranks[part]))
+            for start, t in reversed(found):
+                if self.valid_token(t) and (start == 0 or self.valid_pair(table[start - 1], t)):
                     table.append(t)
                     break
         return table
