@@ -130,7 +130,7 @@ def notifications(spark: SparkSession, d: str) -> DataFrame:
     cursor = datetime.datetime(2025, 6, 1)
     m = store.memories(spark, d, "importance", "deleted_at").filter((F.col("created") > F.lit(cursor)) & F.col("deleted_at").isNull())
     hit = m.join(F.broadcast(s), ((F.col("sub_ns") == "*") | (F.col("sub_ns") == F.col("namespace"))) & (F.col("importance") >= F.col("least")))
-    return hit.select("agent", "id", "importance", "created").distinct()
+    return hit.select("agent", "id", "importance", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created")).distinct()
 
 
 def acl_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +191,7 @@ SQL = {
     "percentile_nearest_rank": f"with {_MET}, r as (select *, row_number() over (partition by metric order by value, event_id) - 1 as i, count(*) over (partition by metric) as n from met) select metric, p, value from r, (select unnest([0.5::double, 0.9::double, 0.95::double, 0.99::double]) as p) where i = floor(p * (n - 1) + 0.5::double)",
     "adaptive_baseline": f"with {_MET}, g as (select metric, count(*) as n, avg(value) as mean, sqrt(var_pop(value)) as sd, arg_max(value, row(ts, event_id)) as last from met group by 1) select metric, n, round(mean, 5) as mean, round(sd, 5) as sd, round(abs(last - mean) / sd, 5) as deviation, case when n < 20 or sd = 0 then 'uncalibrated' when abs(last - mean) / sd < 1.5 then 'normal' when abs(last - mean) / sd < 2.5 then 'elevated' when abs(last - mean) / sd < 3.5 then 'high' else 'extreme' end as level from g",
     "drive_alignment": sql("") + f", x as (select *, lower(coalesce(content, '')) as t from m) select id, round({_ALIGN}, 6) as alignment, round(least(1.0::double, importance * (1 + 0.5::double * {_ALIGN})), 6) as boosted from x",
-    "notifications": sql("") + ", subs as (select * from (values ('agent-a', 'atlas', 0.5), ('agent-a', '*', 0.9), ('agent-b', 'harbor', 0.3)) t(agent, sub_ns, least_)) select distinct agent, id, importance, created from m join subs on (sub_ns = '*' or sub_ns = namespace) and importance >= least_ where created > timestamp '2025-06-01' and deleted_at is null",
+    "notifications": sql("") + ", subs as (select * from (values ('agent-a', 'atlas', 0.5), ('agent-a', '*', 0.9), ('agent-b', 'harbor', 0.3)) t(agent, sub_ns, least_)) select distinct agent, id, importance, strftime(created, '%Y-%m-%d %H:%M:%S') as created from m join subs on (sub_ns = '*' or sub_ns = namespace) and importance >= least_ where created > timestamp '2025-06-01' and deleted_at is null",
     "acl_filter": sql("") + ", g as (select * from (values ('agent-a', 'atlas', 'read'), ('agent-a', 'harbor', 'write'), ('agent-b', '*', 'admin'), ('agent-c', 'quarry', 'none')) t(agent, grant_ns, permission) where permission in ('read', 'write', 'admin')) select agent, namespace, count(distinct id) as n_readable from m join g on grant_ns = '*' or grant_ns = namespace group by 1, 2",
     "turn_window_context": sql("select id, coalesce(string_agg(memory_type, ',') over (partition by namespace order by created, id rows between 4 preceding and 1 preceding), '') as context from m"),
     "metacognition_report": f"with {_MET}, e as (select * from (select *, row_number() over (partition by metric order by ts desc, event_id desc) as r from met) where r <= 500), f as (select *, row_number() over (partition by metric order by value, event_id) - 1 as i, count(*) over (partition by metric) as n from e) select metric, count(*) as n, round(avg(value), 5) as mean, round(avg((value < 10)::int), 6) as empty_rate, max(value) filter (i = floor(0.95::double * (n - 1) + 0.5::double)) as p95 from f group by 1",

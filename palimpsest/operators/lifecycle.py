@@ -200,7 +200,7 @@ def memory_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def memory_stats_ns(spark: SparkSession, d: str) -> DataFrame:
     m = _state(spark, d)
-    return m.groupBy("namespace").agg(F.count("*").alias("n"), F.sum(F.col("pinned").cast("int")).alias("n_pinned"), F.sum(F.col("deleted_at").isNotNull().cast("int")).alias("n_deleted"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"))
+    return m.groupBy("namespace").agg(F.count("*").alias("n"), F.sum(F.col("pinned").cast("int")).alias("n_pinned"), F.sum(F.col("deleted_at").isNotNull().cast("int")).alias("n_deleted"), F.date_format(F.min("event_time"), "yyyy-MM-dd HH:mm:ss").alias("first_event"), F.date_format(F.max("event_time"), "yyyy-MM-dd HH:mm:ss").alias("last_event"))
 
 
 def health(spark: SparkSession, d: str) -> DataFrame:
@@ -332,7 +332,7 @@ SQL = {
     "co_recall_30s": sql("select least(a.memory_id, b.memory_id) as a, greatest(a.memory_id, b.memory_id) as b, count(*) as n from acc a join acc b on a.memory_id <> b.memory_id and b.accessed_at between a.accessed_at and a.accessed_at + interval 30 seconds and (b.accessed_at > a.accessed_at or a.access_id < b.access_id) group by 1, 2"),
     "orphan_cleanup": sql(_GONE),
     "memory_stats": sql("select coalesce(memory_type, '*') as memory_type, coalesce(layer, '*') as layer, count(*) as n, round(avg(working_strength), 6) as avg_working, round(avg(core_strength), 6) as avg_core, round(avg(importance), 6) as avg_importance, sum(pinned::int)::bigint as n_pinned from m group by grouping sets ((memory_type), (layer), ())"),
-    "memory_stats_ns": sql("select namespace, count(*) as n, sum(pinned::int)::bigint as n_pinned, count(deleted_at) as n_deleted, min(event_time) as first_event, max(event_time) as last_event from m group by 1"),
+    "memory_stats_ns": sql("select namespace, count(*) as n, sum(pinned::int)::bigint as n_pinned, count(deleted_at) as n_deleted, strftime(min(event_time), '%Y-%m-%d %H:%M:%S') as first_event, strftime(max(event_time), '%Y-%m-%d %H:%M:%S') as last_event from m group by 1"),
     "health": sql("") + f", {A.STRENGTH}, {_sym}, tied as (select id as k from sym union select memory_id from me) select namespace, count(*) as n_total, count(*) filter (deleted_at is null) as n_live, count(*) filter (lower(id) not in (select k from tied)) as n_orphans, count(*) filter (effective_strength < 0.01) as n_below, count(*) filter (coalesce(superseded_by, '') <> '') as n_superseded from s group by 1",
     "recall_recent": sql("select namespace, rank, id from (select namespace, id, row_number() over (partition by namespace order by created desc, id) as rank from m where deleted_at is null and coalesce(superseded_by, '') = '') where rank <= 20"),
     "recall_causal": sql("select id, importance from m where memory_type = 'causal' and deleted_at is null and coalesce(superseded_by, '') = '' order by importance desc, id limit 50"),
