@@ -141,7 +141,7 @@ def fit(reps: DataFrame, total: int, per_cell: int, books: int, words: int, fit_
 
 
 def nearest(
-    vectors: DataFrame, k: int = 5, *, per_cell: int = 400, probes: int = 4, books: int = 8, words: int = 256, beam: int = 4, rerank: int = 128, fit_rows: int = 16_384, block: int = 4_000, seed: int = 5
+    vectors: DataFrame, k: int = 5, *, per_cell: int = 400, probes: int = 4, books: int = 8, words: int = 256, beam: int = 4, rerank: int = 256, fit_rows: int = 16_384, block: int = 4_000, seed: int = 5
 ) -> DataFrame:
     """(id, other, cosine): the k most similar others of each id of ``vectors`` (id, v)."""
     spark = vectors.sparkSession
@@ -178,8 +178,8 @@ def nearest(
             b, ids = _matrix(base["v"].combine_chunks()), np.array(base["rep"].to_pylist())
             codes = _matrix(base["codes"].combine_chunks(), False).astype(np.int64)
             norm, cell = base["norm"].to_numpy(), np.full(len(b), key[0].as_py())
-            for lo in range(0, asks.num_rows, 512):
-                part = asks.slice(lo, 512)
+            for lo in range(0, asks.num_rows, 256):
+                part = asks.slice(lo, 256)
                 x, own = _matrix(part["v"].combine_chunks()), np.array(part["rep"].to_pylist())
                 near = q.scores(x.astype(np.float32), cell, codes, norm)
                 width = min(rerank, near.shape[1])
