@@ -22,27 +22,37 @@ PAIR_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
 PAIR_DECAY = 0.00413
 
 
-def pair_candidates(spark: SparkSession, d: str, hub: int = 60) -> DataFrame:
-    """Pairs (a, b, strength, shared) that a link or a shared entity suggests.
+#: Rows of an entity that one task joins with so many others; entities with more are cut into blocks.
+PAIR_BLOCK = 256
 
-    An entity that over ``hub`` memories mention says little about a pair and
-    suggests none; its weight stays in the Jaccard of pairs found otherwise.
+
+def shared_entities(mentions: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(a, b, shared): all pairs of memories with a common entity, and how many. ``mentions``: memory_id, entity_id, distinct.
+
+    The memories of an entity are cut into blocks and each two blocks meet in
+    a key of their own, so an entity in many memories is spread over tasks.
     """
+    blocks = mentions.groupBy("entity_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    x = mentions.join(blocks, "entity_id").withColumn("k", F.pmod(F.xxhash64("memory_id"), F.col("blocks")).cast("int"))
+    low = x.select("entity_id", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("blocks") - 1)).alias("j"), F.col("memory_id").alias("m1"))
+    high = x.select("entity_id", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("memory_id").alias("m2"))
+    p = low.join(high, ["entity_id", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("m1") < F.col("m2")))
+    return p.groupBy(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def pair_candidates(spark: SparkSession, d: str, kept: DataFrame) -> DataFrame:
+    """Pairs (a, b, strength, shared) of ``kept`` memories (id) that a link or a shared entity suggests."""
     l = store.links(spark, d).filter("source_id <> target_id")
     linked = l.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.sum("strength").alias("strength"))
-    me = store.mentions(spark, d).select("memory_id", "entity_id").distinct()
-    rare = me.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") <= hub).select("entity_id")
-    x = me.join(rare, "entity_id")
-    y = x.select("entity_id", F.col("memory_id").alias("b"))
-    shared = x.join(y, "entity_id").filter("memory_id < b").groupBy(F.col("memory_id").alias("a"), "b").agg(F.count("*").alias("shared"))
-    return linked.join(shared, ["a", "b"], "full").select("a", "b", F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce("shared", F.lit(0)).alias("shared"))
+    me = store.mentions(spark, d).select("memory_id", "entity_id").distinct().join(kept, F.col("memory_id") == F.col("id"), "left_semi")
+    return linked.join(shared_entities(me), ["a", "b"], "full").select("a", "b", F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
 def pair_scores(spark: SparkSession, d: str) -> DataFrame:
     """(a, b, score): weighted sum of link strength, entity Jaccard, cosine and closeness in time."""
-    p = pair_candidates(spark, d)
     ents = store.mentions(spark, d).select("memory_id", "entity_id").distinct().groupBy("memory_id").agg(F.count("*").alias("n"))
     m = store.memories(spark, d, "importance", "deleted_at").filter("deleted_at is null and importance >= 0.3").select(F.lower("id").alias("id"), "created")
+    p = pair_candidates(spark, d, m.select("id"))
     m = m.join(ents, F.col("id") == F.col("memory_id"), "left").join(usable(spark, d).select(F.lower("id").alias("vid"), "v"), F.col("id") == F.col("vid"), "left")
     side = lambda s: m.select(F.col("id").alias(s), F.col("created").alias(f"t{s}"), F.coalesce("n", F.lit(0)).alias(f"n{s}"), F.col("v").alias(f"v{s}"))
     x = p.join(side("a"), "a").join(side("b"), "b")
