@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -222,26 +223,137 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+#: Weights of the resolution signals, of which the present ones are scaled to one, and the scores from which a pair is merged or deferred.
+NAME, TYPE, RECENCY, TOGETHER = 0.6, 0.2, 0.2, 0.2
+MERGE, DEFER = 0.85, 0.60
+#: Entities of a namespace in one block, and pairs compared at once.
+NAME_BLOCK, NAME_PAIRS = 512, 1 << 13
+
+
+def jaro_winkler_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``jaro_winkler`` of each two rows of code points, padded with zeros."""
+    la, lb = (a > 0).sum(1), (b > 0).sum(1)
+    reach = (np.maximum(la, lb) // 2 - 1).astype(np.int32)
+    rows, place = np.arange(len(a)), np.arange(b.shape[1], dtype=np.int32)
+    free, hit = b > 0, np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        can = b == a[:, i, None]
+        can &= free
+        can &= np.abs(place - i) <= reach[:, None]
+        first = can.argmax(1)
+        hit[:, i] = can[rows, first]
+        free[rows, first] &= ~hit[:, i]
+    used = (b > 0) & ~free
+    m = hit.sum(1)
+    width = min(a.shape[1], b.shape[1])
+    left = np.take_along_axis(a, np.argsort(~hit, 1, kind="stable"), 1)[:, :width]
+    right = np.take_along_axis(b, np.argsort(~used, 1, kind="stable"), 1)[:, :width]
+    swaps = ((left != right) & (np.arange(width) < m[:, None])).sum(1) / 2
+    jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - swaps) / np.maximum(m, 1)) / 3, 0.0)
+    same = (a[:, :width] == b[:, :width]) & (a[:, :width] > 0)
+    prefix = np.logical_and.accumulate(same[:, :4], 1).sum(1)
+    equal = (la == lb) & (same.sum(1) == la)
+    return np.where(equal, 1.0, np.where(m > 0, jaro + prefix * 0.1 * (1 - jaro), 0.0))
+
+
 @F.pandas_udf(T.DoubleType())
 def name_match(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    chars = name_codes(a.tolist() + b.tolist())
+    at = range(0, len(a), NAME_PAIRS)
+    return pd.Series(np.concatenate([jaro_winkler_pairs(chars[: len(a)][i : i + NAME_PAIRS], chars[len(a) :][i : i + NAME_PAIRS]) for i in at]))
+
+
+def name_codes(names: list[str]) -> np.ndarray:
+    """Small codes of the characters, a row a name, padded with zeros."""
+    points = np.array(names, dtype=str).view(np.uint32).reshape(len(names), -1)
+    known = np.unique(np.append(points, np.uint32(0)))
+    return np.searchsorted(known, points).astype(np.uint8 if len(known) < 256 else np.uint32)
+
+
+def jaro_winkler_bound(common: np.ndarray, la: np.ndarray, lb: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """The most that two names can reach whose letters have so many in common, wherever they stand."""
+    jaro = np.where(common > 0, (common / la + common / lb + 1) / 3, 0.0)
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+def alike_in_block(x: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (id, id2) of two blocks of a namespace that reach ``DEFER`` by name, type and recency; names are compared only where they can."""
+    chars = name_codes(x["n"].tolist())
+    length = (chars > 0).sum(1)
+    letters = np.stack([(chars == k).sum(1) for k in range(1, int(chars.max()) + 1)], 1).astype(np.uint16 if chars.shape[1] > 255 else np.uint8)
+    start = chars[:, :4] if chars.shape[1] >= 4 else np.pad(chars, ((0, 0), (0, 4 - chars.shape[1])))
+    low, high = np.flatnonzero(~x["right"].to_numpy(bool)), np.flatnonzero(x["right"].to_numpy(bool))
+    ids, kind = x["id"].to_numpy(str), x["entity_type"].fillna("").to_numpy(str)
+    seen = x["seen"].to_numpy("float64")
+    out = []
+    step = max(1, NAME_PAIRS // max(1, len(high)))
+    same_block = x["i"].iloc[0] == x["j"].iloc[0]
+    for at in range(0, len(low), step):
+        l, r = (g.ravel() for g in np.meshgrid(low[at : at + step], high, indexing="ij"))
+        if same_block:
+            keep = ids[l] < ids[r]
+            l, r = l[keep], r[keep]
+        typed = (kind[l] != "") & (kind[r] != "")
+        recency = np.exp2(-np.abs(seen[l] - seen[r]) / 86400.0 / 30)
+        known = ~np.isnan(recency)
+        rest = TYPE * (typed & (kind[l] == kind[r])) + RECENCY * np.where(known, recency, 0.0)
+        need = (DEFER - 1e-6) * (NAME + TYPE * typed + RECENCY * known) - rest
+        can = need <= NAME
+        l, r, need = l[can], r[can], need[can]
+        prefix = np.logical_and.accumulate((start[l] == start[r]) & (start[l] > 0), 1).sum(1)
+        can = NAME * jaro_winkler_bound(np.minimum(letters[l], letters[r]).sum(1), length[l], length[r], prefix) >= need
+        l, r, need = l[can], r[can], need[can]
+        ok = NAME * jaro_winkler_pairs(chars[l], chars[r]) >= need
+        out.append(pd.DataFrame({"id": ids[l[ok]], "id2": ids[r[ok]]}))
+    p = pd.concat(out) if out else pd.DataFrame({"id": [], "id2": []}, dtype=object)
+    swap = p["id"] > p["id2"]
+    return pd.DataFrame({"id": p["id"].where(~swap, p["id2"]), "id2": p["id2"].where(~swap, p["id"])})
+
+
+def resolution_candidates(e: DataFrame, together: DataFrame) -> DataFrame:
+    """(id, id2) of one namespace: all that can be merged or deferred, all in one memory, and all with six first letters of a word in common."""
+    count = e.groupBy("namespace").agg(F.ceil(F.count("*") / NAME_BLOCK).cast("int").alias("blocks"))
+    x = e.join(F.broadcast(count), "namespace").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    x = x.select("namespace", "blocks", "k", "id", "n", "entity_type", F.unix_seconds(F.col("seen").cast("timestamp")).cast("double").alias("seen"))
+    rest = ["id", "n", "entity_type", "seen"]
+    low = x.select("namespace", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("blocks") - 1)).alias("j"), F.lit(False).alias("right"), *rest)
+    high = x.select("namespace", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.lit(True).alias("right"), *rest)
+    alike = low.unionByName(high).groupBy("namespace", "i", "j").applyInPandas(alike_in_block, "id string, id2 string")
+    block = e.withColumn("b", F.explode(F.array_distinct(F.transform(F.filter(F.split("n", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 6), lambda w: F.substring(w, 1, 6)))))
+    words = block.join(block.select("namespace", "b", F.col("id").alias("id2")), ["namespace", "b"]).filter("id < id2")
+    return alike.unionByName(words.select("id", "id2")).unionByName(together.select("id", "id2")).distinct()
+
+
+def mentioned_together(e: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, id2, together): entities of one namespace in the same memories, by the share of the rarer one's memories."""
+    me = mentions.select("memory_id", "entity_id").distinct().join(e.select("id", "namespace"), F.col("entity_id") == F.lower("id")).select("memory_id", "id", "namespace")
+    n = me.groupBy("id").agg(F.count("*").alias("n"))
+    both = me.join(me.select("memory_id", "namespace", F.col("id").alias("id2")), ["memory_id", "namespace"]).filter("id < id2").groupBy("id", "id2").agg(F.count("*").alias("both"))
+    both = both.join(n, "id").join(n.select(F.col("id").alias("id2"), F.col("n").alias("n2")), "id2")
+    return both.select("id", "id2", (F.col("both") / F.least("n", "n2")).alias("together"))
 
 
 def resolution_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of entities that a memory mentions together: fused signals and the decision to merge, defer or keep apart.
+    """Pairs of entities of a namespace: fused signals and the decision to merge, defer or keep apart.
 
     Signals: name, type, recency, co-mention; one that is missing leaves the
-    weights of the others. Candidates share the first three letters of a word.
+    weights of the others. All pairs that reach a merge or a deferral are
+    found, since every two entities of a namespace meet; those kept apart are
+    listed where a memory mentions both or a word begins alike.
     """
     e = store.entities(spark, d).filter("name is not null and trim(name) <> ''").select("id", "namespace", "entity_type", F.lower(F.trim("name")).alias("n"), F.coalesce("last_seen", "first_seen").alias("seen"))
-    block = e.withColumn("b", F.explode(F.array_distinct(F.transform(F.filter(F.split("n", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 6), lambda w: F.substring(w, 1, 6)))))
-    r = block.select("namespace", "b", *[F.col(c).alias(c + "2") for c in ("id", "entity_type", "n", "seen")])
-    p = block.join(r, ["namespace", "b"]).filter("id < id2").dropDuplicates(["id", "id2"])
+    e = checkpoint(e)
+    together = checkpoint(mentioned_together(e, store.mentions(spark, d)))
+    p = resolution_candidates(e, together).join(together, ["id", "id2"], "left").join(e.drop("namespace"), "id")
+    p = p.join(e.select(*[F.col(c).alias(c + "2") for c in ("id", "entity_type", "n", "seen")]), "id2")
     days = F.abs(seconds_between(F.col("seen"), F.col("seen2"))) / 86400.0
-    recency = F.pow(F.lit(2.0), -days / 30)
-    fused = (0.6 * F.col("jw") + 0.2 * (F.col("entity_type") == F.col("entity_type2")).cast("double") + F.coalesce(0.2 * recency, F.lit(0.0))) / F.when(recency.isNull(), 0.8).otherwise(1.0)
+    signals = [(NAME, F.col("jw")), (TYPE, (F.col("entity_type") == F.col("entity_type2")).cast("double")), (RECENCY, F.pow(F.lit(2.0), -days / 30)), (TOGETHER, F.col("together"))]
+    have = sum(F.when(v.isNotNull(), w).otherwise(0.0) for w, v in signals)
+    fused = sum(F.coalesce(w * v, F.lit(0.0)) for w, v in signals) / have
     p = p.withColumn("jw", name_match("n", "n2")).withColumn("fused", F.round(fused, 6))
-    return p.select("id", "id2", "fused", F.when(F.col("fused") >= 0.85, "merge").when(F.col("fused") >= 0.60, "defer").otherwise("new").alias("decision"))
+    return p.select("id", "id2", "fused", F.when(F.col("fused") >= MERGE, "merge").when(F.col("fused") >= DEFER, "defer").otherwise("new").alias("decision"))
 
 
 def proposed_predicates(spark: SparkSession, d: str) -> DataFrame:
