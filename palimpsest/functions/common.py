@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,22 +15,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder for tables between steps; it is deleted when the application ends.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests, a single machine) a temporary folder is used.
+    It lies in the cluster's ``spark.checkpoint.dir``; only where that is unset
+    (tests, a single machine) in a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = os.path.join(tempfile.gettempdir(), f"palimpsest-checkpoints-{os.getuid()}")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        root = os.path.join(tempfile.gettempdir(), f"palimpsest-checkpoints-{os.getuid()}")
+    folder = f"{root.rstrip('/')}/palimpsest-{sc.applicationId}"
+    if folder not in _folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _folders.add(folder)
+    return folder
+
+
+_folders: set[str] = set()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder.
+
+    A written table has a true size, whereas a checkpoint keeps the estimate of
+    the plan before it, from which the planner would broadcast what has grown.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a checkpoint that nothing reads any more."""
+    path = getattr(df, "_written", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ns(col: str | Column = "namespace") -> Column:

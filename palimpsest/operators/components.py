@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.common import checkpoint
+from palimpsest.functions.common import checkpoint, release
 
 
 def _mins(e: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         m = down.join(_mins(down), F.col("u") == F.col("mu"))
         small = m.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = checkpoint(small)
+        before, e = e, checkpoint(small)
+        release(before)
         new = _state(e)
         if new == state:
             break
