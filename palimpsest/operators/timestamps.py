@@ -21,6 +21,7 @@ tables give an empty result.
 from __future__ import annotations
 
 import datetime
+import zoneinfo
 from functools import lru_cache
 
 import pandas as pd
@@ -50,11 +51,15 @@ DATE_FORMS = [
 ]
 
 
+@lru_cache(maxsize=1)
+def _zones() -> list[str]:
+    """All names of the public zone database, whether or not their abbreviations are letters."""
+    return sorted(zoneinfo.available_timezones() | {"UTC", "GMT"})
+
+
 @lru_cache(maxsize=1)
 def _abbreviations() -> list[tuple[str, str, int]]:
     """(zone, abbreviation, offset in seconds), from the public zone database: a few thousand rows at most."""
-    import zoneinfo
-
     out = set()
     for name in zoneinfo.available_timezones():
         z = zoneinfo.ZoneInfo(name)
@@ -142,7 +147,7 @@ def candidates(df: DataFrame, text: str, zone: str, abbr: DataFrame) -> DataFram
         .when((digits != "") & (oh <= 18) & (om <= 59), sign * (oh * 3600 + om * 60))
         .otherwise(F.col("_aoff"))
     )
-    region = F.when(F.col("_region") == "", F.col(zone)).when(F.col("_region").isin([*sorted({n for n, *_ in _abbreviations()}), "UTC", "GMT"]), F.col("_region"))
+    region = F.when(F.col("_region") == "", F.col(zone)).when(F.col("_region").isin(_zones()), F.col("_region"))
     df = df.select("*", offset.cast("bigint").alias("_off"), F.when(F.col("_z") == "", region).alias("_in"))
 
     def instant(mo: str, d: str) -> Column:
@@ -230,7 +235,7 @@ def normalise_timestamps(
     spark = records.sparkSession
     abbr = spark.createDataFrame(_abbreviations(), "zone string, abbr string, offset int")
     zones = namespaces.groupBy(F.col("namespace").alias("_zn")).agg(F.min("home_zone").alias("_zone"), F.min("date_order").alias("_order"))
-    zones = zones.withColumn("_zone", F.when(F.col("_zone").isin([*sorted({n for n, *_ in _abbreviations()}), "UTC"]), F.col("_zone")))
+    zones = zones.withColumn("_zone", F.when(F.col("_zone").isin(_zones()), F.col("_zone")))
     one = records.select("source_table", "record_id", "text", ns().alias("namespace"), "loaded_at")
     one = one.groupBy("source_table", "record_id").agg(F.min(F.struct(F.col("loaded_at").isNull().alias("late"), "loaded_at", F.col("text").isNull().alias("none"), "text", "namespace")).alias("r"))
     one = one.select("source_table", "record_id", "r.text", "r.namespace")

@@ -6,7 +6,7 @@ from palimpsest.operators.timestamps import normalise_timestamps
 
 UTC = datetime.timezone.utc
 SCHEMA = "source_table string, record_id string, text string, namespace string, loaded_at timestamp_ntz"
-NS = [("berlin", "Europe/Berlin", "dmy"), ("ny", "America/New_York", "mdy"), ("default", "UTC", "mdy"), ("open", "UTC", None), ("odd", "Not/AZone", "dmy")]
+NS = [("berlin", "Europe/Berlin", "dmy"), ("ny", "America/New_York", "mdy"), ("default", "UTC", "mdy"), ("open", "UTC", None), ("odd", "Not/AZone", "dmy"), ("sp", "America/Sao_Paulo", "dmy"), ("ktm", "Asia/Kathmandu", "dmy")]
 
 
 def us(*a):
@@ -21,6 +21,12 @@ CASES = [
     ("2024-07-01 12:00", "odd", us(2024, 7, 1, 12)),
     ("2024-07-01 12:00", "nowhere", us(2024, 7, 1, 12)),
     ("2024-07-01", "ny", us(2024, 7, 1, 4)),
+    ("2024-07-01 12:00", "sp", us(2024, 7, 1, 15)),  # zones whose abbreviations are no letters
+    ("01/07/2018 12:00", "sp", us(2018, 7, 1, 15)),
+    ("2018-12-01 12:00", "sp", us(2018, 12, 1, 14)),
+    ("2024-07-01 12:00:00", "ktm", us(2024, 7, 1, 6, 15)),
+    ("2024-07-01T12:00:00[Asia/Kathmandu]", "ny", us(2024, 7, 1, 6, 15)),
+    ("2024-07-01 12:00:00 [America/Sao_Paulo]", "ktm", us(2024, 7, 1, 15)),
     ("2024-10-27 02:30:00", "berlin", us(2024, 10, 27, 0, 30)),  # twice: the first
     ("2024-03-31 02:30:00", "berlin", us(2024, 3, 31, 1, 30)),  # skipped: moves on
     ("2024-11-03 01:30:00 EST", "ny", us(2024, 11, 3, 6, 30)),
