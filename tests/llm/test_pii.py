@@ -53,6 +53,76 @@ def test_pseudonyms_keep_format_and_link():
     assert pii.redact("nothing here", KEY) == "nothing here" and pii.redact(None, KEY) is None
 
 
+#: None of these given names or surnames is in the word lists.
+UNSEEN = [
+    ("please ask Ethan Walker about it", "Ethan Walker"), ("Noah Smith called twice", "Noah Smith"), ("Sanjay Gupta approved the patch", "Sanjay Gupta"), ("Sophie Laurent said no", "Sophie Laurent"),
+    ("Dr. Amelia Novak will join", "Amelia Novak"), ("Thanks, Oliver Jensen", "Oliver Jensen"), ("cc: Declan O'Brien", "Declan O'Brien"), ("we met Chloe van Dijk yesterday", "Chloe van Dijk"),
+    ("Frau Annika Schulz hat gesagt", "Annika Schulz"), ("Ask Jean-Luc Moreau first", "Jean-Luc Moreau"), ("signed Mateo Fernández", "Mateo Fernández"), ("J. Okafor agrees", "J. Okafor"),
+    ("It broke. Yuki Tanaka wrote the fix", "Yuki Tanaka"), ("tell Ingeborg Haugen's team", "Ingeborg Haugen"), ("Thank Rajesh K. Iyer for it", "Rajesh K. Iyer"),
+]
+NO_NAMES = [
+    "Data Science and Machine Learning are taught", "the New York office", "Visit San Francisco and Los Angeles", "Redis Cluster said no", "Visual Studio Code", "The Victor Relay gateway called", "in Buenos Aires",
+    "Run OPS-6720 finished", "Module Drikex owns this part. The Brerimond branch holds it", "Stefan postpones the pass", "Monday Morning Report approved",
+]
+
+
+def test_names_that_no_list_has():
+    whole = {n.lower() for n in pii._names}
+    assert not any(w.lower() in whole for _, n in UNSEEN for w in n.split())
+    right = sum(("person_name", n) in found(t) for t, n in UNSEEN)
+    wrong = sum(k == "person_name" and v not in {n for _, n in UNSEEN} for t, _ in UNSEEN for k, v in found(t)) + sum(k == "person_name" for t in NO_NAMES for k, _ in found(t))
+    assert right >= 0.9 * len(UNSEEN) and wrong <= 0.1 * len(UNSEEN)
+    assert found("Giulia Rossi and Wei Zhang") == [("person_name", "Giulia Rossi"), ("person_name", "Wei Zhang")]
+    assert found("at 12 Rue de la Paix, Paris") == [("address", "12 Rue de la Paix, Paris")] and found("Hauptstr. 5, 10115 Berlin") == [("address", "Hauptstr. 5, 10115 Berlin")]
+
+
+VALUES = [
+    ("12345678Z", "id_number"), ("12345678-A", "id_number"), ("X1234567L", "id_number"), ("QQ 79 43 25 D", "id_number"), ("945-14-0963", "id_number"), ("123-45-6789", "id_number"), ("990116196104179600", "id_number"),
+    ("C0112347", "id_number"), ("AB1234567", "id_number"), ("+49 30 23125 663", "phone"), ("030/23125-256", "phone"), ("(212) 555 0130", "phone"),
+]
+
+
+@pytest.mark.parametrize("value,kind", VALUES)
+def test_pseudonyms_round_trip_in_their_format(value, kind):
+    form = lambda v: "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in v)
+    p = pii.pseudonym(value, kind, KEY)
+    assert p != value and form(p) == form(value) and pii.restore(p, kind, KEY) == value
+    if kind == "id_number":
+        assert not any(a == b for a, b in zip(value, p) if a.isalpha()) or value[0] in "XYZ" or value.startswith(("QQ", "AB"))
+
+
+def test_check_characters_and_dates():
+    right = lambda v: "TRWAGMYFPDXBNJZSQVHLCKE"[int(v[:8]) % 23] == v[8]
+    for i in range(200):
+        n = f"{i * 499_979 % 10**8:08d}"
+        dni = n + "TRWAGMYFPDXBNJZSQVHLCKE"[int(n) % 23]
+        assert right(pii.pseudonym(dni, "id_number", KEY))
+        assert not right(pii.pseudonym(n + "TRWAGMYFPDXBNJZSQVHLCKE"[(int(n) + 1) % 23], "id_number", KEY))
+    # every birth date of a century has a pseudonym of its own
+    seen = {pii._walk(v, 36_525, KEY, pii.feistel) for v in range(36_525)}
+    assert seen == set(range(36_525))
+    assert pii.pseudonym("123-45-6789", "id_number", KEY).replace("-", "")[:3] not in ("000", "666")
+
+
+def test_a_key_is_needed(spark, data):
+    df = spark.createDataFrame([("1", "a@b.example")], "id string, body string")
+    with pytest.raises(ValueError):
+        pii.redact_column(df, "id", "body", b"")
+    # without the setting every run has a key of its own
+    one, two = ({r["memory_id"]: r["redacted"] for r in pii.p2_redacted(spark, data).collect()} for _ in range(2))
+    assert one.keys() == two.keys() and one != two
+
+
+def test_the_rest_of_the_text_stays():
+    text = "Call +49 30 23125 663, SSN 945-14-0963; ask Ethan Walker at 12 Rue de la Paix, Paris. Ünïcode stays\r\n"
+    at, parts = 0, []
+    for a, b, _ in pii.find_pii(text):
+        parts.append(text[at:a])
+        at = b
+    red = pii.redact(text, KEY)
+    assert [p for p in __import__("re").split(r"\[(?:EMAIL|PHONE|ID_NUMBER|ADDRESS|PERSON_NAME) [^\]]*\]", red)] == parts + [text[at:]]
+
+
 def test_frames(spark):
     df = spark.createDataFrame([("1", "SSN 945-14-0963 SSN 945-14-0963", 1), ("2", None, 1), (None, "a@b.example", 1), ("4", "word " * 50_000 + "x@y.example", 1)], "id string, body string, pii_kind int")
     got = [(r["id"], r["pii_kind"], r["found_text"]) for r in pii.pii_pieces(df, "id", "body").collect()]
