@@ -77,3 +77,14 @@ def norm_key(col: str | Column) -> Column:
 def partitions_for(rows: int, per_partition: int = 50_000, least: int = 8) -> int:
     """Number of partitions so that each holds a bounded number of rows."""
     return max(least, -(-rows // per_partition))
+
+
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """A frame with a row for each record: joined by sorting, never sent whole through the driver."""
+    return df.hint("merge")
+
+
+def spread(df: DataFrame, *keys: str, per_partition: int = 20_000) -> DataFrame:
+    """A frame whose rows are about to be multiplied, in partitions by rows, which adaptive execution does not merge by bytes."""
+    n = partitions_for(df.count(), per_partition, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

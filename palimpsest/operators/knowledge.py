@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.functions.common import checkpoint
-from palimpsest.operators.components import connected_components
+from palimpsest.operators.components import connected_components, pairs_within
 from palimpsest.operators.retrieval import usable
 from palimpsest.sources import store
 from palimpsest.sources.store import NOW, seconds_between, sql
@@ -32,12 +32,7 @@ def shared_entities(mentions: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     The memories of an entity are cut into blocks and each two blocks meet in
     a key of their own, so an entity in many memories is spread over tasks.
     """
-    blocks = mentions.groupBy("entity_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    x = mentions.join(blocks, "entity_id").withColumn("k", F.pmod(F.xxhash64("memory_id"), F.col("blocks")).cast("int"))
-    low = x.select("entity_id", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("blocks") - 1)).alias("j"), F.col("memory_id").alias("m1"))
-    high = x.select("entity_id", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("memory_id").alias("m2"))
-    p = low.join(high, ["entity_id", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("m1") < F.col("m2")))
-    return p.groupBy(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).agg(F.count("*").alias("shared"))
+    return pairs_within(mentions, "entity_id", "memory_id", block=block).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def pair_candidates(spark: SparkSession, d: str, kept: DataFrame) -> DataFrame:
