@@ -30,6 +30,10 @@ def test_parse():
     assert parse_name("bob.brarkimaking")[:3] == ("person", "brarkimaking", "robert")
     assert parse_name("Brarkimaking R.K.")[1:5] == ("brarkimaking", "", "r", "k")
     assert parse_name("The Dilarapyra Labs S. A.")[:2] == ("organisation", "dilarapyra") and parse_name("dilarapyra laboratories sa")[5] == "laboratories"
+    for n in ("Rossi, Giulia", "rossi giulia", "Giulia ROSSI"):
+        p = parse_name(n)
+        assert ("rossi", "=giulia") in [(p[1], p[2].split("|")[0]), (p[6], (p[7] or "").split("|")[0])], n
+    assert parse_name("Smith Noah") == parse_name("Noah Smith") and {parse_name("Noah Smith")[i] for i in (1, 6)} == {"noah", "smith"}
     for other in ("Project Foo", "foo-cli", "foo ranking", "Foo Hall", "", None, "  "):
         assert parse_name(other) is None
 
@@ -70,3 +74,25 @@ def test_links(spark):
     groups = {frozenset(g) for g in got.values() if len(g) > 1}
     assert groups == {frozenset({"1", "2", "3"}), frozenset({"6", "7"}), frozenset({"9", "10"})}
     assert link_mentions(spark.createDataFrame([], S)).count() == 0
+
+
+def test_names_outside_the_list(spark):
+    """Orders, typos and initials of names of which the list has no part."""
+    same = [
+        ["Giulia Rossi", "Rossi, Giulia", "ROSSI GIULIA", "Giulia Rosi", "Guilia Rossi", "G. Rossi"], ["Noah Smith", "Smith Noah", "Noha Smith", "N. Smith"], ["Sanjay Gupta", "gupta_sanjay", "Sanjay Gutpa"],
+        ["Sophie Laurent", "Laurent, Sophie", "Sophi Laurent"], ["Ethan Walker", "Walker Ethan", "Ethan Wlaker"], ["Yuki Tanaka", "Tanaka Yuki"], ["Declan Haugen"], ["Ingeborg Haugen"], ["Kofi Mensah"], ["Kwesi Mensah"],
+    ]
+    rows = [(f"{i}-{j}", n, "person", "a", None, None) for i, group in enumerate(same) for j, n in enumerate(group)]
+    got = {r["id"]: r["entity"] for r in link_mentions(spark.createDataFrame(rows, S)).collect()}
+    pairs = lambda of: {(a, b) for a, b in itertools.combinations(sorted(got), 2) if of(a) == of(b)}
+    want, have = pairs(lambda k: k.split("-")[0]), pairs(got.get)
+    assert len(want & have) >= 0.9 * len(want) and len(want & have) >= 0.9 * len(have), (want ^ have)
+
+
+def test_hot_surname(spark):
+    """Many people of one surname meet only in their given name: the links are those of each person's own variants."""
+    rows = [(f"{i}-{j}", f"{c}{v}{d}{v}th {s}", "person", "a", None, None) for i, (c, v, d) in enumerate(itertools.product("bdgkmprtz", "aeiou", "lnrst")) for j, s in enumerate(("Smolenskaya", "Smolenskya"))]
+    got = {}
+    for r in link_mentions(spark.createDataFrame(rows, S)).collect():
+        got.setdefault(r["entity"], set()).add(r["id"])
+    assert all(any({f"{i}-0", f"{i}-1"} <= g for g in got.values()) for i in range(225))
