@@ -11,9 +11,11 @@ to the exact cosine in double precision.
 
 The codebooks are fitted on the driver on at most ``fit_rows`` vectors, the only
 bound; every row is encoded, is searched and searches. The number of cells grows
-with the collection, so a cell keeps some ``per_cell`` vectors. Exact copies are
+with the collection, so a cell keeps some ``per_cell`` vectors: where the fit
+cannot give enough centres, each cell is cut by a codebook of its residuals, and
+a cell is a pair of words (up to 2,048 by 256 of them, for 200 million vectors). Exact copies are
 one class and only the smallest k + 1 of its ids can be neighbours, so copies
-cannot make a hot cell; a full cell is cut into blocks, each a task of its own.
+cannot make a hot cell; a full cell is cut into blocks, and its many askers into turns, each a task of its own.
 
 Defined results: rows of another model or length, with null or NaN entries or
 all zero are not used; of a repeated id the smallest vector counts; equal
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.common import checkpoint
+from palimpsest.functions.common import checkpoint, unbroadcast
 
 
 def usable_vectors(df: DataFrame, model: str, dimension: int) -> DataFrame:
@@ -63,11 +65,15 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 class AdditiveQuantiser:
     """Coarse centres and residual codebooks of full dimension."""
 
-    def __init__(self, sample: np.ndarray, cells: int, books: int, words: int, seed: int = 5, rounds: int = 8):
+    def __init__(self, sample: np.ndarray, cells: int, books: int, words: int, seed: int = 5, rounds: int = 8, parts: int = 1):
         rng = np.random.default_rng(seed)
         x = sample.astype(np.float32)
         self.centres = kmeans(x, cells, rounds, rng)
-        rest = x - self.centres[self.cells_of(x, 1)[:, 0]]
+        self.parts = np.zeros((1, x.shape[1]), np.float32)
+        rest = x - self.centre_of(self.cells_of(x, 1)[:, 0])
+        if parts > 1:
+            self.parts = kmeans(rest, parts, rounds, rng)
+            rest = x - self.centre_of(self.cells_of(x, 1)[:, 0])
         self.books = []
         for _ in range(books):
             book = kmeans(rest, words, rounds, rng)
@@ -75,16 +81,27 @@ class AdditiveQuantiser:
             rest = rest - book[(rest @ book.T - (book * book).sum(1) / 2).argmax(1)]
         self.flat = np.concatenate(self.books)
 
+    def centre_of(self, cell: np.ndarray) -> np.ndarray:
+        return self.centres[cell // len(self.parts)] + self.parts[cell % len(self.parts)]
+
     def cells_of(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The nearest cells, nearest first."""
+        """The nearest cells, nearest first; of cut cells the nearest parts of the nearest four times as many."""
         s = x @ self.centres.T - (self.centres * self.centres).sum(1) / 2
-        probes = min(probes, s.shape[1])
-        top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+        n = len(self.parts)
+        wide = min(probes if n == 1 else 4 * probes, s.shape[1])
+        top = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
+        s = np.take_along_axis(s, top, 1)
+        if n > 1:
+            cells = (top[:, :, None] * n + np.arange(n)).reshape(len(x), -1)
+            cross = (self.centres @ self.parts.T)[top]
+            s = (s[:, :, None] + (x @ self.parts.T)[:, None, :] - cross - (self.parts * self.parts).sum(1) / 2).reshape(len(x), -1)
+            keep = np.argpartition(-s, min(probes, s.shape[1]) - 1, axis=1)[:, :probes]
+            top, s = np.take_along_axis(cells, keep, 1), np.take_along_axis(s, keep, 1)
+        return np.take_along_axis(top, np.argsort(-s, axis=1, kind="stable"), 1)
 
     def encode(self, x: np.ndarray, cell: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes by beam search over the codebooks, and the squared norm of each decoded vector."""
-        target = x - self.centres[cell]
+        target = x - self.centre_of(cell)
         n = len(x)
         kept = np.zeros((n, 1, x.shape[1]), np.float32)
         codes = np.zeros((n, 1, 0), np.int16)
@@ -101,14 +118,15 @@ class AdditiveQuantiser:
             codes = np.concatenate([codes[rows, path], word[:, :, None]], axis=2)
         error = ((target[:, None, :] - kept) ** 2).sum(2)
         at = np.arange(n), error.argmin(1)
-        whole = kept[at] + self.centres[cell]
+        whole = kept[at] + self.centre_of(cell)
         return codes[at], (whole * whole).sum(1)
 
     def scores(self, q: np.ndarray, cell: np.ndarray, codes: np.ndarray, norm: np.ndarray) -> np.ndarray:
         """Approximate cosines of queries with encoded vectors of any cells, by lookup tables."""
         # word-major tables: a code reads one contiguous row with its products with all queries
         table = self.flat @ q.T
-        out = (self.centres @ q.T)[cell]
+        own, back = np.unique(cell, return_inverse=True)
+        out = (self.centre_of(own) @ q.T)[back]
         at = 0
         for m, book in enumerate(self.books):
             out += table[at + codes[:, m]]
@@ -132,12 +150,15 @@ def _lists(a: np.ndarray, dtype: type) -> pa.Array:
 
 def fit(reps: DataFrame, total: int, per_cell: int, books: int, words: int, fit_rows: int, seed: int) -> AdditiveQuantiser:
     """The quantiser, fitted on at most ``fit_rows`` vectors chosen by hash."""
-    share = int(min(1.0, 1.2 * fit_rows / total) * 1_000_000)
-    chosen = reps.filter(F.pmod(F.xxhash64("c", F.lit(seed)), F.lit(1_000_000)) < share).select("v").limit(fit_rows).toArrow()
+    share = int(min(1.0, 1.2 * fit_rows / total) * 1_000_000) + 1
+    mark = F.xxhash64("c", F.lit(seed))
+    chosen = reps.filter(F.pmod(mark, F.lit(1_000_000)) < share).orderBy(mark).limit(fit_rows).select("v").toArrow()
     if not chosen.num_rows:
         chosen = reps.select("v").limit(1).toArrow()
     sample = _matrix(chosen.column(0).combine_chunks())
-    return AdditiveQuantiser(sample, max(1, min(total // per_cell, len(sample) // 8)), books, min(words, len(sample)), seed)
+    wanted = max(1, total // per_cell)
+    cells = max(1, min(wanted, len(sample) // 8))
+    return AdditiveQuantiser(sample, cells, books, min(words, len(sample)), seed, parts=min(-(-wanted // cells), words, len(sample)))
 
 
 def nearest(
@@ -163,13 +184,15 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(near, np.int32), _lists(codes, np.int16), pa.array(norm.astype(np.float32))], ["rep", "v", "cells", "codes", "norm"])
 
     coded = checkpoint(reps.select("rep", "v").mapInArrow(encode, "rep string, v array<float>, cells array<int>, codes array<smallint>, norm float"))
-    # a full cell is cut into blocks; a query meets all blocks of its cells
+    # a full cell is cut into blocks, and those who ask it into turns; each turn meets each block in a task of its own
     fill = coded.groupBy(F.element_at("cells", 1).alias("cell")).agg(F.count("*").alias("n"))
-    fill = fill.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
+    crowd = coded.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("asked"))
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    fill = checkpoint(crowd.join(fill, "cell").select("cell", cut(F.col("n")).alias("blocks"), cut(F.col("asked") / 4).alias("turns")))
     base = coded.select("rep", "v", "codes", "norm", F.element_at("cells", 1).alias("cell")).join(fill, "cell")
-    base = base.select("cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "v", "codes", "norm")
+    base = base.select("cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "rep", "v", "codes", "norm")
     asks = coded.select("rep", "v", F.explode("cells").alias("cell")).join(fill, "cell")
-    asks = asks.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "v")
+    asks = asks.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", "cell"), F.col("turns")).cast("int").alias("turn"), "rep", "v")
 
     def search(key: tuple, base: pa.Table, asks: pa.Table) -> pa.Table:
         q = shared.value
@@ -196,20 +219,20 @@ def nearest(
         return out.filter(pa.compute.greater(out["cosine"], -5))
 
     again = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
-    hits = again(base).groupBy("cell", "block").cogroup(again(asks).groupBy("cell", "block")).applyInArrow(search, "rep string, other string, cosine double")
+    hits = again(base).groupBy("cell", "block", "turn").cogroup(again(asks).groupBy("cell", "block", "turn")).applyInArrow(search, "rep string, other string, cosine double")
     hits = hits.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), F.col("other").alias("id")))), 1, k).alias("near"))
     hits = checkpoint(hits)
     # the smallest k + 1 ids of each class, first within salts so that no task sorts a whole hot class
     salted = keyed.select("c", "id", F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt"))
     first = lambda df, keys: df.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("id"))).filter(F.col("r") <= k + 1).drop("r")
     firsts = first(first(salted, ["c", "salt"]), ["c"]).groupBy("c").agg(F.collect_list("id").alias("ids"))
-    named = checkpoint(reps.select("c", "rep").join(firsts, "c"))
+    named = checkpoint(reps.select("c", "rep").join(unbroadcast(firsts), "c"))
     far = hits.select("rep", F.explode("near").alias("x")).select("rep", "x.far", F.col("x.id").alias("other"))
-    far = far.join(named.select(F.col("rep").alias("other"), F.col("ids")), "other").select("rep", "far", F.explode("ids").alias("id"))
+    far = far.join(unbroadcast(named.select(F.col("rep").alias("other"), F.col("ids"))), "other").select("rep", "far", F.explode("ids").alias("id"))
     own = named.select("rep", F.lit(-1.0).alias("far"), F.explode("ids").alias("id"))
     pool = far.unionByName(own).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("far", "id"))).alias("pool"))
-    pool = named.select("c", "rep").join(pool, "rep").select("c", "pool")
-    out = keyed.select("id", "c").join(pool, "c")
+    pool = named.select("c", "rep").join(unbroadcast(pool), "rep").select("c", "pool")
+    out = keyed.select("id", "c").join(unbroadcast(pool), "c")
     mine = F.slice(F.filter("pool", lambda x: x["id"] != F.col("id")), 1, k)
     return out.select("id", F.explode(mine).alias("x")).select("id", F.col("x.id").alias("other"), (-F.col("x.far")).alias("cosine"))
 

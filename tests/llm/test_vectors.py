@@ -31,6 +31,20 @@ def test_recall(spark):
     assert recall >= 0.9 and all(len(v) == 5 for v in got.values()), recall
 
 
+def test_recall_with_cut_cells_and_turns(spark):
+    """A fit too small for the cells that are wanted, hot cells cut into blocks and their askers into turns."""
+    x = clusters(3000)
+    x[:1000] = x[0] + np.random.default_rng(3).normal(size=(1000, 16)).astype(np.float32) * 0.01
+    ids = np.array([f"{i:05d}" for i in range(len(x))])
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], V), 5, fit_rows=128, per_cell=60, words=64, block=100, probes=6).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    want = brute(x, ids, 5)
+    asked = [i for i in ids if int(i) % 20 == 0]
+    recall = np.mean([len(got.get(i, set()) & set(want[i])) / 5 for i in asked])
+    assert recall >= 0.9 and all(len(v) == 5 for v in got.values()), recall
+
+
 def test_copies_are_exact_and_ties_go_by_id(spark):
     x = clusters(60)
     rows = [(f"a{i:03d}", x[i].tolist()) for i in range(60)] + [(f"z{i:03d}", x[0].tolist()) for i in range(40)]
