@@ -223,8 +223,8 @@ def segment_join(keys: DataFrame, k: int = 3, max_distance: int = 2) -> DataFram
     start = lambda i: base * i + F.greatest(F.lit(0), F.lit(i) - (n - longer))
     index = keys.select("namespace", "kind", "key", length.alias("len"), F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), F.substring(F.col("key"), start(i) + 1, size(i)).alias("text")) for i in range(n)])).alias("s"))
     index = index.select("namespace", "kind", F.col("key").alias("b"), "len", "s.seg", "s.text")
-    # probes: for each length of the other key and each segment, the substrings that k edits can shift there
-    probe = keys.select("namespace", "kind", F.col("key").alias("a"), F.length("key").alias("la"), F.explode(F.sequence(F.greatest(F.lit(1), F.length("key") - k), F.length("key") + k)).alias("len"))
+    # probes: the longer key asks; for each length of the other key and each segment, the substrings that k edits can shift there
+    probe = keys.select("namespace", "kind", F.col("key").alias("a"), F.length("key").alias("la"), F.explode(F.sequence(F.greatest(F.lit(1), F.length("key") - k), F.length("key"))).alias("len"))
     b2, l2 = F.floor(F.col("len") / n).cast("int"), (F.col("len") % n).cast("int")
     probe = probe.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("seg"))
     size2 = b2 + (F.col("seg") >= n - l2).cast("int")
@@ -233,10 +233,11 @@ def segment_join(keys: DataFrame, k: int = 3, max_distance: int = 2) -> DataFram
     d = F.col("la") - F.col("len")
     room = F.floor((F.lit(k) - F.abs(d)) / 2).cast("int")
     lo, hi = F.greatest(F.lit(0), start2 + F.least(F.lit(0), d) - room), F.least(F.col("la") - size2, start2 + F.greatest(F.lit(0), d) + room)
-    probe = probe.select("namespace", "kind", "a", "len", "seg", size2.alias("size"), lo.alias("lo"), hi.alias("hi")).filter("hi >= lo")
-    probe = probe.select("namespace", "kind", "a", "len", "seg", "size", F.explode(F.sequence("lo", "hi")).alias("at"))
-    probe = probe.select("namespace", "kind", "a", "len", "seg", F.substring(F.col("a"), F.col("at") + 1, F.col("size")).alias("text")).distinct()
-    met = probe.join(unbroadcast(index), ["namespace", "kind", "len", "seg", "text"]).filter("a < b").select("namespace", "kind", "a", "b").distinct()
+    probe = probe.select("namespace", "kind", "a", "la", "len", "seg", size2.alias("size"), lo.alias("lo"), hi.alias("hi")).filter("hi >= lo")
+    probe = probe.select("namespace", "kind", "a", "la", "len", "seg", "size", F.explode(F.sequence("lo", "hi")).alias("at"))
+    probe = probe.select("namespace", "kind", "a", "la", "len", "seg", F.substring(F.col("a"), F.col("at") + 1, F.col("size")).alias("text")).distinct()
+    met = probe.join(unbroadcast(index), ["namespace", "kind", "len", "seg", "text"]).filter("len < la or a < b")
+    met = met.select("namespace", "kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # cheap JVM bound first, then the banded distance with swaps
     met = met.filter(F.levenshtein("a", "b", k) >= 0)
     return met.withColumn("d", banded("a", "b")).filter(F.col("d") <= max_distance)
