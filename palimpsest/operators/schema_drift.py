@@ -5,7 +5,8 @@ top-level fields; for each producer, field and type the files that hold it form
 islands (a gap of one file ends an island), found with ``lag``. Where an island
 starts or ends, the catalogue logs ``added``, ``removed``, ``type_changed`` or,
 when the values agree in all memories that both files hold, ``renamed``. The
-renames form the alias table from which the casts of the consistent table come.
+renames of a producer, followed in chains, extend the table of known names; from
+that alias table the casts of the consistent table come.
 
 Only lines of files at a change are compared by value, keyed by memory, so no
 file, producer or field is gathered in one task.
@@ -24,10 +25,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.common import checkpoint
+from palimpsest.operators.components import connected_components
 
 #: The names under which the writers have kept each field.
 ALIASES = {
-    "id": ["id"],
+    "id": ["id", "memory_id", "_id", "uuid"],
     "content": ["content"],
     "summary": ["summary"],
     "layer": ["layer"],
@@ -44,6 +46,11 @@ ALIASES = {
 }
 
 
+def memory_key(v: str = "v") -> Column:
+    """The memory of a record, under any of its known names."""
+    return F.coalesce(*[F.try_variant_get(v, f"$.{n}", "string") for n in ALIASES["id"]])
+
+
 def _lines(exports: DataFrame) -> DataFrame:
     """Distinct lines with their record as a map of raw JSON values; null where unreadable."""
     one = exports.select("producer", "file_no", "line_no", "record").distinct()
@@ -55,7 +62,7 @@ def _lines(exports: DataFrame) -> DataFrame:
 def field_values(exports: DataFrame) -> DataFrame:
     """producer, file_no, line_no, memory_id, field, kind, value for each top-level field."""
     lines = _lines(exports).filter("v is not null")
-    raw = lines.select("producer", "file_no", "line_no", F.try_variant_get("v", "$.id", "string").alias("memory_id"), F.expr("cast(v as map<string, variant>)").alias("m"))
+    raw = lines.select("producer", "file_no", "line_no", memory_key().alias("memory_id"), F.expr("cast(v as map<string, variant>)").alias("m"))
     cells = raw.select("producer", "file_no", "line_no", "memory_id", F.explode("m").alias("field", "x"))
     kind = F.schema_of_variant("x")
     kind = (
@@ -93,7 +100,7 @@ def _renames(exports: DataFrame, pairs: DataFrame) -> DataFrame:
     lines = _lines(exports).filter("v is not null")
     # a line is the new side of its own file's step and the old side of the next one
     sides = lines.select(
-        "producer", F.try_variant_get("v", "$.id", "string").alias("memory_id"), "v",
+        "producer", memory_key().alias("memory_id"), "v",
         F.explode(F.array(F.struct(F.col("file_no").alias("file_no"), F.lit(False).alias("old")), F.struct((F.col("file_no") + 1).alias("file_no"), F.lit(True).alias("old")))).alias("s"),
     ).filter("memory_id is not null")
     met = sides.select("producer", "s.file_no", "s.old", "memory_id", "v").join(pairs, ["producer", "file_no"])
@@ -153,18 +160,48 @@ def _cast_time(text: Column) -> Column:
     return F.coalesce(F.unix_micros(F.try_to_timestamp(text)), F.floor(number * 1_000_000).cast("bigint"))
 
 
-def consistent_table(exports: DataFrame) -> DataFrame:
+def learned_aliases(changes: DataFrame) -> DataFrame:
+    """(producer, learned: column -> names): names that a producer's renames, in chains, tie to a known name of a column.
+
+    A name tied to several columns, or to none, is not learned. One row a producer.
+    """
+    e = changes.filter("change_kind = 'renamed'").select("producer", "field_before", "field_after").distinct()
+    node = lambda c: F.to_json(F.array("producer", c))
+    group = connected_components(e.select(node("field_before").alias("src"), node("field_after").alias("dst")))
+    name = F.from_json("node", "array<string>")
+    column = F.lit(None).cast("string")
+    for c, names in ALIASES.items():
+        column = F.when(F.col("field").isin(names), c).otherwise(column)
+    group = group.select("component", name[0].alias("producer"), name[1].alias("field")).withColumn("column", column)
+    sure = group.groupBy("component").agg(F.min("column").alias("c"), F.max("column").alias("d")).filter("c = d").select("component", "c")
+    new = group.filter("column is null").join(sure, "component").groupBy("producer", "c").agg(F.array_sort(F.collect_set("field")).alias("names"))
+    return new.groupBy("producer").agg(F.map_from_entries(F.collect_list(F.struct("c", "names"))).alias("learned"))
+
+
+def consistent_table(exports: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """All exported memories in one schema; of a memory exported several times, each (producer, file_no) keeps a row.
 
-    Values under any alias of a field are taken in the alias table's order;
-    names that no alias covers go to ``other`` as a JSON object.
+    Values under a known name of a column are taken in the order of the names,
+    then those under names that the producer's renames tie to it (``aliases``,
+    by default those of this export); all others go to ``other`` as a JSON object.
     """
+    aliases = learned_aliases(schema_changes(exports)) if aliases is None else aliases
     lines = _lines(exports).filter("v is not null").withColumn("m", F.expr("cast(v as map<string, variant>)"))
-    text = lambda name: F.coalesce(*[F.try_variant_get("v", f'$["{n}"]', "string") for n in ALIASES[name]])
+    lines = lines.join(checkpoint(aliases), "producer", "left")
+
+    def cell(column: str) -> Column:
+        value = lambda x: F.when(F.schema_of_variant(x) != "VOID", x)
+        known = [value(F.try_variant_get("v", f'$["{n}"]', "variant")) for n in ALIASES[column]]
+        names = F.try_element_at("learned", F.lit(column))
+        return F.coalesce(*known, F.when(names.isNotNull(), F.try_element_at(F.filter(F.transform(names, lambda n: value(F.try_element_at("m", n))), lambda x: x.isNotNull()), F.lit(1))))
+
+    lines = lines.select("producer", "file_no", "line_no", "m", "learned", *[cell(c).alias(f"_{c}") for c in ALIASES])
+    text = lambda c, at="$": F.try_variant_get(f"_{c}", at, "string")
     # a path may be text, {"path": text} or [text]; nested metadata stay JSON
-    path = lambda name: F.coalesce(*[F.coalesce(F.try_variant_get("v", f'$["{n}"].path', "string"), F.try_variant_get("v", f'$["{n}"][0]', "string"), F.try_variant_get("v", f'$["{n}"]', "string")) for n in ALIASES[name]])
-    known = [n for names in ALIASES.values() for n in names]
-    rest = F.map_filter("m", lambda k, _: ~k.isin(known))
+    path = lambda c: F.coalesce(text(c, "$.path"), text(c, "$[0]"), text(c))
+    taken = [n for names in ALIASES.values() for n in names]
+    learned = F.coalesce(F.flatten(F.map_values("learned")), F.array().cast("array<string>"))
+    rest = F.map_filter("m", lambda k, _: ~k.isin(taken) & ~F.array_contains(learned, k))
     pinned = F.lower(text("pinned"))
     return lines.select(
         "producer", "file_no", "line_no",

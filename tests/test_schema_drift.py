@@ -43,3 +43,20 @@ def test_consistent_table(spark):
     got = {r["id"]: r for r in consistent_table(frame(spark, files)).collect()}
     assert got["a"]["source_file"] == "/x" and got["a"]["pinned"] is True and got["a"]["created_us"] == 1709374272500000 and json.loads(got["a"]["other"]) == {"odd": 3}
     assert got["b"]["source_file"] == "/y" and got["b"]["pinned"] is False and got["b"]["created_us"] == 1709374272000000 and got["b"]["importance"] == 0.5
+
+
+def test_a_rename_that_no_table_knows_lands_in_its_column(spark):
+    files = {
+        1: [{"id": "a", "source": "x", "meta": "k", "odd": 1}, {"id": "b", "source": "y", "meta": "l", "odd": 2}],
+        2: [{"id": "a", "whence": "x", "meta": "k", "odder": 1}, {"id": "b", "whence": "y", "meta": "l", "odder": 2}],
+        3: [{"memory_id": "b", "where_from": "y", "meta": "l", "odder": 2}, {"memory_id": "c", "where_from": "z", "meta": "m", "odder": 3}],
+    }
+    df = frame(spark, files)
+    assert (3, "whence", "where_from", "renamed") in changes(df) and (3, "id", "memory_id", "renamed") in changes(df)
+    got = {(r["file_no"], r["id"]): r for r in consistent_table(df).collect()}
+    assert {k: r["source"] for k, r in got.items()} == {(1, "a"): "x", (1, "b"): "y", (2, "a"): "x", (2, "b"): "y", (3, "b"): "y", (3, "c"): "z"}
+    assert json.loads(got[3, "c"]["other"]) == {"odder": 3} and json.loads(got[1, "a"]["other"]) == {"odd": 1}
+    # of another producer the same names mean nothing
+    alone = spark.createDataFrame([("q", 1, "f", 1, AT, json.dumps({"id": "d", "whence": "w"}))], S)
+    rows = {r["id"]: r for r in consistent_table(df.unionByName(alone)).collect()}
+    assert rows["d"]["source"] is None and json.loads(rows["d"]["other"]) == {"whence": "w"}
