@@ -3,9 +3,11 @@
 Method: robust Mahalanobis distance from the prose of the document's language.
 Each text gives a vector of statistics (whole text, one pass). For each language
 a robust mean and covariance are fitted on all documents: median and median
-absolute deviation first, then ``steps`` rounds of concentration in which the
-documents within the cutoff are averaged again. All of it is partial aggregation
-in Spark: what comes to the driver is one matrix a language. The squared
+absolute deviation first (documents within ``start`` of those deviations in every
+statistic), then ``steps`` rounds of concentration in which the documents within
+the cutoff are averaged again. All of it is partial aggregation in Spark: what
+comes to the driver is one matrix a language. The cutoff 50 is the value that a
+chi-square variable of 14 degrees exceeds 6 times in a million. The squared
 distance splits into one contribution for each statistic, d_i (S^-1 d)_i, which
 is reported and names what makes a document an outlier.
 
@@ -21,7 +23,7 @@ column, which may be missing or wrong; ties of languages go by name.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +43,15 @@ COMMON_WORDS = {
     "de": """der die das und ist in zu den mit von für auf nicht ein eine einen einer eines dem des im sich auch es an als sie er wir ich nach bei aus wie aber oder
         wenn noch nur so über vor zum zur bis um durch wird werden wurde hat haben war was weil dass man kann sind am ohne unter seit beim vom diese dieser
         jede jeder alle obwohl während""".split(),
+    "fr": """le la les de des du et un une est sont en dans que qui pour pas ne sur avec ce cette il elle ils nous vous je se au aux par plus mais ou où être avoir a ont
+        était fait comme tout sans sous entre leur leurs son sa ses très aussi quand donc ainsi chaque encore après avant depuis""".split(),
+    "it": """il lo la gli le di del della dei delle e un una uno è sono in nel nella che chi per non su con questo questa si al alla da dal più ma o anche come tutto senza
+        tra fra loro suo sua molto quando quindi ogni ancora dopo prima essere ha hanno era""".split(),
+    "nl": """de het een en van in is dat die te op voor met niet zijn was er aan ook als maar om dan nog wel naar door over bij uit zo of wordt werd worden heeft hebben kan
+        deze dit hun geen meer al tot onder wij zij hij ik je""".split(),
+    "pt": """o a os as de do da dos das e um uma é são em no na nos nas que para não com por se mais mas ou também como tudo sem entre seu sua seus suas muito quando então
+        cada ainda depois antes ser foi está ao à pelo pela isso este esta""".split(),
+    "ru": """и в не на что с по как это он она они мы вы к из у за от до о для но а же бы так его её их был была были если или при уже ещё только можно без""".split(),
     "es": """el la de que y en un una los las del se por con para al lo como más no su sus es son fue está este esta esto pero si o ya muy sin sobre entre hasta
         desde cuando también porque aunque donde todo todos cada otro otra me le les nos ha han ser hay mientras durante antes después nadie""".split(),
 }
@@ -70,7 +81,9 @@ STATS = (
     "odd_words", "repeated_lines", "repeated_words", "mojibake", "list_share", "table_share", "machine_share",
 )
 STRUCTURE = ("list_share", "table_share")
-#: Deviations below this are no evidence: floors of the spread of each statistic.
+#: The share of common words from which a language is taken to be written in: prose has 0.3 and more.
+WRITTEN = 0.15
+#: Deviations below this are no evidence: they guard statistics of hardly any spread.
 FLOORS = dict(zip(STATS, (0.35, 0.015, 0.02, 0.03, 0.12, 0.045, 0.025, 0.03, 0.05, 0.06, 0.004, 0.08, 0.08, 0.04)))
 
 
@@ -139,7 +152,9 @@ def text_stats(text: str | None) -> tuple[str, list[float]] | None:
     letters = len("".join(words))
     hits = {k: sum(count[w] for w in s if w in count) for k, s in _COMMON_SETS.items()}
     best = max(sorted(hits), key=lambda k: hits[k])
-    lang = "zh" if cjk > 0.3 * max(1, letters) else best if hits[best] else "none"
+    # one word over and over is no language
+    several = len(words) < 8 or sum(w in count for w in _COMMON_SETS[best]) > 1
+    lang = "zh" if cjk > 0.3 * max(1, letters) else best if hits[best] and several else "none"
     dense = max(1, sum(map(len, text.split())))
     kinds = line_kinds(lines)
     share = {k: 0 for k in ("list", "table", "machine", "text")}
@@ -202,26 +217,42 @@ def document_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, language string, n_chars bigint, stats array<double>").withColumnRenamed("k", key)
 
 
-def _fit_sums(df: DataFrame) -> list:
-    p = len(STATS)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    x = [F.col("stats")[i] for i in range(p)]
-    sums = F.array(*[F.sum(v) for v in x]).alias("s")
-    squares = F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("q")
-    return df.groupBy("language").agg(F.count("*").alias("n"), sums, squares).collect()  # one row a language
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(STATS))
+
+
+_PAIRS = np.triu_indices(len(STATS))
+
+
+def _fit_sums(stats: DataFrame, inside: Callable[[str, np.ndarray], np.ndarray]) -> list:
+    """Count, sums and sums of products of the documents ``inside``, summed in each batch first; one row a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            names, n, s, q = [], [], [], []
+            for lang in sorted(set(langs)):
+                y = x[langs == lang]
+                y = y[inside(lang, y)]
+                names.append(lang), n.append(len(y)), s.append(y.sum(0)), q.append((y.T @ y)[_PAIRS])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64())), pa.array(q, pa.list_(pa.float64()))], ["language", "n", "s", "q"])
+
+    p, pairs = len(STATS), len(_PAIRS[0])
+    parts = stats.select("language", "stats").mapInArrow(run, "language string, n bigint, s array<double>, q array<double>")
+    total = lambda c, k: F.array(*[F.sum(F.col(c)[i]) for i in range(k)]).alias(c)
+    return parts.groupBy("language").agg(F.sum("n").alias("n"), total("s", p), total("q", pairs)).filter("n > 0").collect()
 
 
 def _parameters(rows: list, least: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean and inverse covariance of each language; languages with fewer rows than ``least`` get that of all."""
     p = len(STATS)
     floor = np.diag(np.array(list(FLOORS.values())) ** 2)
-    at = [(i, j) for i in range(p) for j in range(i, p)]
 
     def one(n: float, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = s / n
         c = np.zeros((p, p))
-        for v, (i, j) in zip(q, at):
-            c[i, j] = c[j, i] = v / n - m[i] * m[j]
+        c[_PAIRS] = q / n
+        c = np.triu(c) + np.triu(c, 1).T - np.outer(m, m)
         return m, np.linalg.inv(c + floor)
 
     out = {r["language"]: one(r["n"], np.array(r["s"]), np.array(r["q"])) for r in rows if r["n"] >= least}
@@ -230,43 +261,49 @@ def _parameters(rows: list, least: int) -> dict[str, tuple[np.ndarray, np.ndarra
     return out
 
 
-def _contributions(df: DataFrame, fits: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Add ``contributions``: how much each statistic adds to the squared distance."""
-    p = len(STATS)
-    table = [(k, [float(v) for v in m], [float(v) for v in s.ravel()]) for k, (m, s) in sorted(fits.items())]
-    params = df.sparkSession.createDataFrame(table, "fit string, mean array<double>, inverse array<double>")  # a row a language
-    known = [k for k in fits if k]
-    fit = F.when(F.col("language").isin(known), F.col("language")).otherwise("") if known else F.lit("")
-    df = df.withColumn("fit", fit).join(F.broadcast(params), "fit")
-    df = df.withColumn("d", F.transform(F.arrays_zip("stats", "mean"), lambda z: z["stats"] - z["mean"]))
-    row = lambda i: F.aggregate(F.zip_with("d", F.slice("inverse", i * p + 1, p), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return df.withColumn("contributions", F.array(*[F.col("d")[i] * row(i) for i in range(p)])).drop("fit", "mean", "inverse", "d")
+def _contributions(fits: dict[str, tuple[np.ndarray, np.ndarray]], lang: str, x: np.ndarray) -> np.ndarray:
+    """How much each statistic adds to the squared distance."""
+    mean, inverse = fits.get(lang, fits[""])
+    d = x - mean
+    return d * (d @ inverse)
 
 
-def quality(df: DataFrame, key: str = "doc_id", text: str = "text", *, cutoff: float = 50.0, steps: int = 2, least: int = 30) -> DataFrame:
+def quality(df: DataFrame, key: str = "doc_id", text: str = "text", *, cutoff: float = 50.0, start: float = 6.0, steps: int = 2, least: int = 30) -> DataFrame:
     """(key, language, n_chars, stats, distance, contributions, text_class) of each document with content."""
     stats = checkpoint(document_stats(df, key, text))
-    # start: within a few deviations of the language's median in every statistic
-    x = [F.col("stats")[i] for i in range(len(STATS))]
-    medians = stats.groupBy("language").agg(F.array(*[F.percentile_approx(v, 0.5, 1000) for v in x]).alias("median"))
-    # texts without a word of any language are no prose to learn from; they are measured against the fit of all
-    near = stats.filter("language <> 'none'").join(F.broadcast(medians), "language")
-    floors = F.array(*[F.lit(6 * v) for v in FLOORS.values()])
-    core = near.filter(F.forall(F.arrays_zip("stats", "median", floors.alias("f")), lambda z: F.abs(z["stats"] - z["median"]) <= z["f"])).select("language", "stats")
-    fits = _parameters(_fit_sums(core), least)
-    if not fits:
+    each = lambda f: F.array(*[f(i) for i in range(len(STATS))])
+    middle = lambda v: F.percentile_approx(v, 0.5, 1000)
+    # texts without a word of any language, or mostly of machine lines, are no prose to learn from; they are measured against a fit all the same
+    known = stats.filter((F.col("language") != "none") & (F.col("stats")[STATS.index("machine_share")] < 0.5))
+    medians = {r["language"]: np.array(r["m"]) for r in known.groupBy("language").agg(each(lambda i: middle(F.col("stats")[i])).alias("m")).collect()}
+    # a language of which half the texts have hardly a common word is one in name only
+    medians = {lang: m for lang, m in medians.items() if m[STATS.index("common_words")] >= WRITTEN}
+    known = known.filter(F.col("language").isin(sorted(medians)))
+    if not medians:
         return stats.select(key, "language", "n_chars", "stats", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("array<double>").alias("contributions"), F.lit(None).cast("string").alias("text_class"))
-    total = lambda keep: F.aggregate(F.array(*[F.col("contributions")[i] for i in keep]), F.lit(0.0), lambda a, b: a + b)
-    every = range(len(STATS))
+    centre = F.create_map(*[x for lang, m in sorted(medians.items()) for x in (F.lit(lang), F.array(*[F.lit(float(v)) for v in m]))])  # a row a language
+    spreads = {r["language"]: np.array(r["s"]) for r in known.withColumn("c", centre[F.col("language")]).groupBy("language").agg(each(lambda i: middle(F.abs(F.col("stats")[i] - F.col("c")[i]))).alias("s")).collect()}
+    limits = {lang: start * np.maximum(1.4826 * spreads[lang], list(FLOORS.values())) for lang in medians}
+    fits = _parameters(_fit_sums(known, lambda lang, x: (np.abs(x - medians[lang]) <= limits[lang]).all(1)), least)
     for _ in range(steps):
-        inside = _contributions(stats, fits).filter((total(every) <= cutoff) & (F.col("language") != "none"))
-        fits = _parameters(_fit_sums(inside), least) or fits
-    out = _contributions(stats, fits).withColumn("distance", total(every))
-    share = lambda n: F.col("stats")[STATS.index(n)]
-    rest = [i for i in every if STATS[i] not in STRUCTURE]
-    shape = F.when(share("table_share") >= F.greatest(share("list_share"), F.lit(0.5)), "table").when(share("list_share") >= 0.5, "list")
-    kind = F.when(F.col("distance") <= cutoff, "prose").when(shape.isNotNull(), shape).when(total(rest) > cutoff, "junk").otherwise("prose")
-    return out.select(key, "language", "n_chars", "stats", F.sqrt(F.greatest("distance", F.lit(0.0))).alias("distance"), "contributions", kind.alias("text_class"))
+        fits = _parameters(_fit_sums(known, lambda lang, x, fits=fits: _contributions(fits, lang, x).sum(1) <= cutoff), least) or fits
+    kind = stats.schema[key].dataType.simpleString()
+    rest = [i for i, n in enumerate(STATS) if n not in STRUCTURE]
+    table, items = STATS.index("table_share"), STATS.index("list_share")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, x = batch.column(1).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
+            c = np.zeros(x.shape)
+            for lang in set(langs):
+                c[langs == lang] = _contributions(fits, lang, x[langs == lang])
+            total = c.sum(1)
+            shape = np.where(x[:, table] >= np.maximum(x[:, items], 0.5), "table", np.where(x[:, items] >= 0.5, "list", ""))
+            found = np.where(total <= cutoff, "prose", np.where(shape != "", shape, np.where(c[:, rest].sum(1) > cutoff, "junk", "prose")))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, c.shape[1], dtype=np.int32)), pa.array(c.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.sqrt(np.maximum(total, 0.0))), rows, pa.array(found.tolist(), pa.string())], [*batch.schema.names, "distance", "contributions", "text_class"])
+
+    return stats.select(key, "language", "n_chars", "stats").mapInArrow(judge, f"`{key}` {kind}, language string, n_chars bigint, stats array<double>, distance double, contributions array<double>, text_class string")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,32 @@ def test_classes(spark):
         assert abs(sum(r["contributions"]) - r["distance"] ** 2) < 1e-6 * (1 + r["distance"] ** 2)
 
 
+def test_a_language_with_few_texts_is_prose(spark):
+    """French among English texts: its few texts are measured against the fit of all."""
+    rng = random.Random(6)
+    french = "le projet est en retard parce que la mise à jour ne passe pas sur les serveurs et nous avons dû attendre la version qui vient avec ce correctif".split()
+    rows = [(i, prose(rng, rng.randint(3, 20))) for i in range(200)]
+    rows += [(300 + k, " ".join((" ".join(rng.choice(french) for _ in range(rng.randint(7, 15))) + ".").capitalize() for _ in range(9))) for k in range(4)] + [(400 + k, "na " * 300) for k in range(40)]
+    out = {r["doc_id"]: r for r in quality(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {out[300 + k]["language"] for k in range(4)} == {"fr"} and {out[300 + k]["text_class"] for k in range(4)} == {"prose"}
+    assert {out[400 + k]["text_class"] for k in range(40)} == {"junk"}
+
+
+def test_start_follows_the_spread_of_the_data(spark):
+    """The start region comes from the median absolute deviation: wide where texts differ, whatever the floors."""
+    from palimpsest.llm import quality as q
+
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randint(3, 20))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wide = {k: v for k, v in q.FLOORS.items()}
+    try:
+        q.FLOORS.update({k: v / 4 for k, v in wide.items()})
+        assert all(r["text_class"] == "prose" for r in quality(df).collect())
+    finally:
+        q.FLOORS.update(wide)
+
+
 def test_empty(spark):
     assert quality(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     one = quality(spark.createDataFrame([(1, "12 34")], "doc_id bigint, text string")).collect()
