@@ -2,40 +2,75 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.operators.feedback import baselines
-from palimpsest.operators.retrieval import FULL_TEXT_SQL, TERMS, bm25, live, top
+from palimpsest.functions.common import checkpoint
+from palimpsest.operators.components import pairs_within
+from palimpsest.operators.knowledge import VECTORS_SQL, vector_pairs
+from palimpsest.operators.retrieval import FULL_TEXT_SQL, TERMS, bm25, live, top, usable
 from palimpsest.sources import store
 from palimpsest.sources.store import NOW, seconds_between, sql
 
-SINCE = datetime.datetime(2025, 12, 1)
+#: Weights of entity overlap, vector and closeness in time, the score from which a link is made, links a memory, days of the window.
+ASSOCIATION = {"entity": 0.3, "vector": 0.5, "time": 0.2, "least": 0.4, "links": 5, "window": 7}
+
+
+def just_before(m: DataFrame, days: int, most: int) -> DataFrame:
+    """(id, other): for each memory the ``most`` latest ones before it in its namespace, at most ``days`` back.
+
+    Time is cut into slices of that many days; a memory's partners lie in its
+    slice or the one before, so each slice is a window of its own.
+    """
+    slot = F.floor(F.unix_seconds(F.col("created").cast("timestamp")) / (86400 * days))
+    own = m.select("namespace", "id", "created", slot.alias("slot"), F.lit(True).alias("own"))
+    both = own.unionByName(own.withColumn("slot", F.col("slot") + 1).withColumn("own", F.lit(False)))
+    before = F.collect_list(F.struct("id", "created")).over(W.partitionBy("namespace", "slot").orderBy("created", "id").rowsBetween(-most, -1))
+    x = both.withColumn("before", before).filter("own").select("id", "created", F.explode("before").alias("o"))
+    return x.filter((F.col("o.created") < F.col("created")) & (seconds_between(F.col("created"), F.col("o.created")) <= 86400 * days)).select("id", F.col("o.id").alias("other"))
 
 
 def association_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """For each memory of the last month, earlier ones that share an entity: (id, other, shared, days)."""
-    m = store.memories(spark, d, "deleted_at").filter("deleted_at is null").select(F.lower("id").alias("id"), "created")
-    me = store.mentions(spark, d).select("memory_id", "entity_id").distinct()
-    fresh = m.filter(F.col("created") >= F.lit(SINCE)).join(me, F.col("id") == F.col("memory_id")).select("id", "created", "entity_id")
-    old = me.join(m.select(F.col("id").alias("other"), F.col("created").alias("c2")), F.col("memory_id") == F.col("other")).select("other", "c2", "entity_id")
-    p = fresh.join(old, "entity_id").filter((F.col("c2") < F.col("created")) & (F.col("id") != F.col("other")))
-    return p.groupBy("id", "other").agg(F.count("*").alias("shared"), F.min(seconds_between(F.col("created"), F.col("c2")) / 86400.0).alias("days"))
+    """(id, other): for each memory, earlier ones that share an entity, have a close vector, or were written just before.
+
+    Of those that are close in time only, no more can be linked than a memory
+    may have links, and the latest score highest: so many suffice. The memories
+    of an entity meet in blocks.
+    """
+    m = checkpoint(store.memories(spark, d, "deleted_at").filter("deleted_at is null").select(F.lower("id").alias("id"), "namespace", "created"))
+    me = store.mentions(spark, d).select("memory_id", "entity_id").distinct().join(m.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    pairs = pairs_within(me, "entity_id", "memory_id").select("a", "b").unionByName(vector_pairs(spark, d).select("a", "b")).distinct()
+    at = m.select("id", "created")
+    pairs = pairs.join(at.select(F.col("id").alias("a"), F.col("created").alias("ta")), "a").join(at.select(F.col("id").alias("b"), F.col("created").alias("tb")), "b").filter("ta <> tb")
+    later = F.col("ta") > F.col("tb")
+    pairs = pairs.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("other"))
+    return pairs.unionByName(just_before(m, ASSOCIATION["window"], ASSOCIATION["links"])).distinct()
 
 
 def discover_associations(spark: SparkSession, d: str) -> DataFrame:
-    """The five best candidates of each memory by 0.6 entity Jaccard + 0.4 exp(-days / 3), kept from 0.1; and which signal leads."""
+    """The five best earlier partners of each memory by entity Jaccard, cosine and exp(-days / 3), kept from 0.4; and which signal leads."""
     p = association_candidates(spark, d)
-    n = store.mentions(spark, d).select("memory_id", "entity_id").distinct().groupBy("memory_id").agg(F.count("*").alias("n"))
-    p = p.join(n.select(F.col("memory_id").alias("id"), F.col("n").alias("n1")), "id").join(n.select(F.col("memory_id").alias("other"), F.col("n").alias("n2")), "other")
-    jac, near = F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared")), F.exp(-F.col("days") / 3)
-    p = p.withColumn("score", F.round(0.6 * jac + 0.4 * near, 6)).withColumn("source", F.when((jac > 0.2) & (near > 0.2), "multi").when(0.6 * jac >= 0.4 * near, "entity").otherwise("temporal")).filter("score >= 0.1")
+    me = store.mentions(spark, d).select("memory_id", "entity_id").distinct()
+    sets = me.groupBy("memory_id").agg(F.collect_set("entity_id").alias("ents"))
+    vectors = usable(spark, d).groupBy(F.lower("id").alias("vid")).agg(F.min("v").alias("v"))
+    m = store.memories(spark, d).select(F.lower("id").alias("id"), "created").join(sets, F.col("id") == F.col("memory_id"), "left").join(vectors, F.col("id") == F.col("vid"), "left").select("id", "created", "ents", "v")
+    side = lambda s, c: m.select(F.col("id").alias(c), *[F.col(x).alias(x + s) for x in ("created", "ents", "v")])
+    p = p.join(side("1", "id"), "id").join(side("2", "other"), "other")
+    none = F.array().cast("array<string>")
+    jac = S.jaccard(F.coalesce("ents1", none), F.coalesce("ents2", none))
+    cos = F.when(F.col("v1").isNotNull() & F.col("v2").isNotNull(), F.greatest(F.lit(0.0), S.cosine(F.col("v1"), F.col("v2")))).otherwise(0.0)
+    near = F.exp(-seconds_between(F.col("created1"), F.col("created2")) / 86400.0 / 3)
+    p = p.select("id", "other", jac.alias("jac"), cos.alias("cos"), near.alias("near"))
+    w = ASSOCIATION
+    score = w["entity"] * F.col("jac") + w["vector"] * F.col("cos") + w["time"] * F.col("near")
+    several = sum(((F.col(c) > 0.2).cast("int") for c in ("jac", "cos", "near")), F.lit(0)) >= 2
+    source = F.when(several, "multi").when((F.col("jac") >= F.col("cos")) & (F.col("jac") >= F.col("near")), "entity").when(F.col("cos") >= F.col("near"), "embedding").otherwise("temporal")
+    p = p.withColumn("score", F.round(score, 6)).withColumn("source", source).filter(F.col("score") >= w["least"])
     r = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return p.withColumn("rank", r.cast("bigint")).filter("rank <= 5").select("id", "other", "score", "source", "rank")
+    return p.withColumn("rank", r.cast("bigint")).filter(F.col("rank") <= w["links"]).select("id", "other", "score", "source", "rank")
 
 
 def access_coactivation(spark: SparkSession, d: str) -> DataFrame:
@@ -164,11 +199,18 @@ def _q(ctes: str, body: str) -> str:
 _CODES = "list_transform(range(0, length(h) // 2), lambda i: (('0x' || substring(h, 2 * i + 1, 2))::int - 128) / 128.0::double)"
 SQL = {
     "discover_associations": _q(
-        """dm as (select distinct memory_id, entity_id from me), lm as (select lower(id) as id, created from m where deleted_at is null),
-        c as (select a.id, b.id as other, count(*) as shared, min((epoch_us(a.created) // 1000000 - epoch_us(b.created) // 1000000) / 86400.0::double) as days from lm a join dm x on x.memory_id = a.id join dm y on y.entity_id = x.entity_id join lm b on b.id = y.memory_id where a.created >= timestamp '2025-12-01' and b.created < a.created and a.id <> b.id group by 1, 2),
-        n as (select memory_id, count(*) as n from dm group by 1), s as (select c.*, shared / (n1.n + n2.n - shared) as jac, exp(-days / 3) as near from c join n n1 on n1.memory_id = c.id join n n2 on n2.memory_id = other),
-        t as (select id, other, round(0.6::double * jac + 0.4::double * near, 6) as score, case when jac > 0.2 and near > 0.2 then 'multi' when 0.6::double * jac >= 0.4::double * near then 'entity' else 'temporal' end as source from s)""",
-        "select * from (select *, row_number() over (partition by id order by score desc, other) as rank from t where score >= 0.1) where rank <= 5",
+        VECTORS_SQL + """, dm as (select distinct memory_id, entity_id from me), lm as (select lower(id) as id, namespace, created from m where deleted_at is null), es as (select memory_id, list(entity_id) as ents from dm group by 1),
+        pe as (select distinct x.memory_id as a, y.memory_id as b from dm x join dm y on x.entity_id = y.entity_id and x.memory_id <> y.memory_id),
+        pv as (select a.vid as a, b.vid as b from us a join us b on a.vid <> b.vid where list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(a.v, lambda z: z::double * z::double)) * list_sum(list_transform(b.v, lambda z: z::double * z::double))) >= 0.85),
+        jb as (select id as a, created, unnest(list(struct_pack(b := id, c := created)) over (partition by namespace order by created, id rows between 5 preceding and 1 preceding)) as o from lm),
+        pt as (select a, o.b as b from jb where epoch_us(created) // 1000000 - epoch_us(o.c) // 1000000 <= 604800),
+        ps as (select a, b from pe union select a, b from pv union select a, b from pt),
+        s as (select x.id as id, y.id as other, coalesce(len(list_intersect(ex.ents, ey.ents)) / (len(ex.ents) + len(ey.ents) - len(list_intersect(ex.ents, ey.ents))), 0) as jac,
+          coalesce(greatest(0.0::double, list_sum(list_transform(list_zip(ux.v, uy.v), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(ux.v, lambda z: z::double * z::double)) * list_sum(list_transform(uy.v, lambda z: z::double * z::double)))), 0.0) as cos,
+          exp(-(epoch_us(x.created) // 1000000 - epoch_us(y.created) // 1000000) / 86400.0::double / 3) as near
+          from ps join lm x on x.id = a join lm y on y.id = b left join es ex on ex.memory_id = a left join es ey on ey.memory_id = b left join us ux on ux.vid = a left join us uy on uy.vid = b where y.created < x.created),
+        t as (select id, other, round(0.3::double * jac + 0.5::double * cos + 0.2::double * near, 6) as score, case when (jac > 0.2)::int + (cos > 0.2)::int + (near > 0.2)::int >= 2 then 'multi' when jac >= cos and jac >= near then 'entity' when cos >= near then 'embedding' else 'temporal' end as source from s)""",
+        "select * from (select *, row_number() over (partition by id order by score desc, other) as rank from t where score >= 0.4) where rank <= 5",
     ),
     "access_coactivation": _q("a as (select distinct memory_id, epoch_us(accessed_at) // 300000000 as slot from acc)", "select x.memory_id, y.memory_id as other, count(*) as n from a x join a y on x.slot = y.slot and x.memory_id < y.memory_id group by 1, 2 having count(*) >= 2"),
     "affective_plan": _q(FULL_TEXT_SQL + f", x as (select id, round(0.5::double * score / max(score) over () + 0.35::double * (1 - abs(importance - 0.8::double)) + 0.15::double * pow(0.5::double, {_HOURS.format('event_time')} / 8760), 6) as score from ft, now_)", "select id, score from x order by score desc, id limit 20"),

@@ -87,13 +87,30 @@ def anomaly_flags(spark: SparkSession, d: str) -> DataFrame:
     return b.select("event_id", F.round("mean", 9).alias("mean"), F.round("std", 8).alias("std"), "n", F.round(z, 7).alias("z"), direction(F.col("value"), F.col("mean"), F.col("std"), F.col("n"), 2.0, 5).alias("direction"))
 
 
+def nearest_ranks(df: DataFrame, key: str, value: str, shares: Sequence[float], cells: int = 1024) -> DataFrame:
+    """(key, p, value): the value at rank round(p (n - 1)) of each key, exactly, without sorting a key's whole history in one task.
+
+    A histogram of ``cells`` equal cells between a key's least and greatest
+    value tells in which cell each rank lies; only the values of those cells are
+    ranked. Nulls are left out.
+    """
+    x = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    span = x.groupBy("_k").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n"))
+    width = F.col("hi") - F.col("lo")
+    cell = F.when(width > 0, F.least(F.lit(cells - 1), F.floor((F.col("_v") - F.col("lo")) / width * cells))).otherwise(0).cast("int")
+    x = x.join(span, "_k").select("_k", "_v", cell.alias("cell"))
+    counts = x.groupBy("_k", "cell").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(W.partitionBy("_k").orderBy("cell")) - F.col("c")  # at most ``cells`` rows a key
+    ranks = span.select("_k", "n", F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("p")).withColumn("rank", F.floor(F.col("p") * (F.col("n") - 1) + 0.5))
+    hit = counts.withColumn("before", before).join(ranks, "_k").filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))).select("_k", "cell", "p", (F.col("rank") - F.col("before")).alias("rank"))
+    inside = x.join(hit.select("_k", "cell").distinct(), ["_k", "cell"], "left_semi")
+    placed = inside.withColumn("i", F.row_number().over(W.partitionBy("_k", "cell").orderBy("_v")) - 1)
+    return placed.join(hit, ["_k", "cell"]).filter(F.col("i") == F.col("rank")).select(F.col("_k").alias(key), "p", F.col("_v").alias(value))
+
+
 def percentile_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     """The value at rank round(p (n - 1)) of each metric."""
-    m = _metric(spark, d)
-    w = W.partitionBy("metric")
-    r = m.withColumn("i", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", F.count("*").over(w))
-    p = r.withColumn("p", F.explode(F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95), F.lit(0.99))))
-    return p.filter(F.col("i") == F.floor(F.col("p") * (F.col("n") - 1) + 0.5)).select("metric", "p", "value")
+    return nearest_ranks(_metric(spark, d), "metric", "value", (0.5, 0.9, 0.95, 0.99)).select("metric", "p", "value")
 
 
 def adaptive_baseline(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +146,7 @@ def notifications(spark: SparkSession, d: str) -> DataFrame:
     s = spark.createDataFrame(subs, "agent string, sub_ns string, least double")
     cursor = datetime.datetime(2025, 6, 1)
     m = store.memories(spark, d, "importance", "deleted_at").filter((F.col("created") > F.lit(cursor)) & F.col("deleted_at").isNull())
-    hit = m.join(F.broadcast(s), ((F.col("sub_ns") == "*") | (F.col("sub_ns") == F.col("namespace"))) & (F.col("importance") >= F.col("least")))
+    hit = m.join(s, ((F.col("sub_ns") == "*") | (F.col("sub_ns") == F.col("namespace"))) & (F.col("importance") >= F.col("least")))
     return hit.select("agent", "id", "importance", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created")).distinct()
 
 
@@ -138,7 +155,7 @@ def acl_filter(spark: SparkSession, d: str) -> DataFrame:
     grants = [("agent-a", "atlas", "read"), ("agent-a", "harbor", "write"), ("agent-b", "*", "admin"), ("agent-c", "quarry", "none")]
     g = spark.createDataFrame(grants, "agent string, grant_ns string, permission string").filter(F.col("permission").isin("read", "write", "admin"))
     m = store.memories(spark, d)
-    hit = m.join(F.broadcast(g), (F.col("grant_ns") == "*") | (F.col("grant_ns") == F.col("namespace")))
+    hit = m.join(g, (F.col("grant_ns") == "*") | (F.col("grant_ns") == F.col("namespace")))
     return hit.groupBy("agent", "namespace").agg(F.countDistinct("id").alias("n_readable"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import scoring as S
-from palimpsest.functions.common import checkpoint, ns, table
+from palimpsest.functions.common import checkpoint, ns, release, table
 from palimpsest.operators.components import connected_components
 from palimpsest.sources import store
 from palimpsest.sources.store import NOW, seconds_between, sql
@@ -117,24 +117,40 @@ def neighbours_khop(spark: SparkSession, d: str, depth: int = 3, kind: str = "or
     return seen.select("id", F.col("distance").cast("bigint").alias("distance"), F.round(F.pow(F.lit(0.5), F.col("distance")), 6).alias("graph_score"))
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """(id, score) by power iteration; mass of ends without edges returns to the seeds. ``edges``: x, y both ways; ``seeds``: id."""
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, together: int = 10) -> DataFrame:
+    """(id, score) by power iteration to an L1 change of ``tolerance``, at most ``rounds``; mass of ends without edges returns to the seeds.
+
+    ``edges``: x, y both ways; ``seeds``: id. Where no edge leads to an end, only
+    seeds without edges lose mass, and how much is known beforehand: then
+    ``together`` rounds run as one job, after which the change is looked at.
+    """
     edges = checkpoint(edges)
     degree = checkpoint(edges.groupBy("x").agg(F.count("*").alias("deg")))
-    n_seeds = seeds.distinct().count()
-    if not n_seeds:
+    seeds = checkpoint(seeds.distinct())
+    n = seeds.count()
+    if not n:
         return seeds.select("id", F.lit(0.0).alias("score")).limit(0)
-    base = checkpoint(seeds.distinct().select("id", F.lit(1.0 / n_seeds).alias("seed")))
-    rank = base.select("id", F.col("seed").alias("score"))
-    for _ in range(rounds):
-        out = rank.join(degree, F.col("id") == F.col("x"), "left")
-        flow = out.filter("deg is not null").select("x", (F.col("score") / F.col("deg")).alias("f")).join(edges, "x").groupBy(F.col("y").alias("id")).agg(F.sum("f").alias("f"))
-        lost = out.agg(F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))
-        new = flow.join(base, "id", "full").join(F.broadcast(lost)).select("id", (damping * (F.coalesce("f", F.lit(0.0)) + F.col("lost") * F.coalesce("seed", F.lit(0.0))) + (1 - damping) * F.coalesce("seed", F.lit(0.0))).alias("score"))
-        new = checkpoint(new)
-        moved = new.join(rank.withColumnRenamed("score", "old"), "id", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        rank = new
-        if moved < tolerance:
+    base = seeds.select("id", F.lit(1.0 / n).alias("seed"))
+    flows = checkpoint(edges.join(degree, "x"))
+    known = edges.join(degree, edges["y"] == degree["x"], "left_anti").isEmpty()
+    alone = seeds.join(degree, F.col("id") == F.col("x"), "left_anti").count() / n
+    together = together if known else 1
+    rank, written, lost = base.select("id", F.col("seed").alias("score")), None, alone
+    for done in range(0, rounds, together):
+        old = new = rank
+        for _ in range(min(together, rounds - done)):
+            if not known:
+                lost = old.join(degree, F.col("id") == F.col("x"), "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+            old = new
+            flow = new.join(flows, F.col("id") == F.col("x")).groupBy(F.col("y").alias("id")).agg(F.sum(F.col("score") / F.col("deg")).alias("f"))
+            back = damping * lost + (1 - damping)
+            new = flow.join(base, "id", "full").select("id", (damping * F.coalesce("f", F.lit(0.0)) + back * F.coalesce("seed", F.lit(0.0))).alias("score"))
+            lost = alone * back
+        both = checkpoint(new.join(old.withColumnRenamed("score", "old"), "id", "full"))
+        if written is not None:
+            release(written)
+        written, rank = both, both.filter("score is not null").select("id", "score")
+        if both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] < tolerance:
             break
     return rank
 
@@ -142,8 +158,7 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
 def ppr(spark: SparkSession, d: str) -> DataFrame:
     adj = undirected(store.relations(spark, d))
     seeds = store.entities(spark, d).filter("entity_type = 'project'").select(F.lower("id").alias("id"))
-    r = personalized_pagerank(adj, seeds, rounds=8)
-    return r.select("id", F.round("score", 8).alias("score"))
+    return personalized_pagerank(adj, seeds).select("id", F.round("score", 8).alias("score"))
 
 
 def relation_components(spark: SparkSession, d: str) -> DataFrame:
@@ -418,11 +433,6 @@ def _q(ctes: str, body: str) -> str:
     return sql("") + ", " + ctes + " " + body
 
 
-_PPR_ROUNDS = ", ".join(
-    f"""r{i + 1} as (select id, 0.85::double * (coalesce(f, 0) + (select coalesce(sum(score), 0) from r{i} where id not in (select x from deg)) * coalesce(seed, 0)) + 0.15::double * coalesce(seed, 0) as score
-      from (select y as id, sum(score / deg) as f from r{i} join deg on r{i}.id = deg.x join adj on adj.x = deg.x group by 1) full join base using (id))"""
-    for i in range(8)
-)
 SQL = {
     "edges_as_of": f"with {_TE} select id, subject, predicate, object from te where recorded_at <= {AT_SQL} and (invalidated_at is null or invalidated_at > {AT_SQL}) and (valid_from is null or valid_from <= {AT_SQL}) and (valid_to is null or valid_to > {AT_SQL})",
     "live_edges": f"with {_TE} select predicate, count(*) as n, count(distinct subject) as n_subjects, round(avg(confidence), 6) as avg_confidence from te where invalidated_at is null or invalidated_at > {store.NOW_SQL} group by 1",
@@ -430,7 +440,6 @@ SQL = {
     "invalid_edges": f"with {_TE} select case when valid_to < valid_from then 'valid_range' when invalidated_at < recorded_at then 'transaction_range' when confidence is null or isnan(confidence) then 'confidence' else 'ok' end as result, count(*) as n from te group by 1",
     "edge_decision": _q(f"x as (select *, lag(target_id) over w as p_target, lag(confidence) over w as p_conf from (select *, case when {_CARD} = 'one_to_one' then '' else target_id end as slot from er where created_at is not null) window w as (partition by source_id, relation, slot order by created_at, id))", "select id, relation, case when p_target is null then 'add' when p_target = target_id and confidence <= p_conf + 0.05::double then 'none' when p_target <> target_id and confidence + 0.05::double < p_conf then 'defer' else 'update' end as decision from x"),
     "neighbours_khop": _q(_ADJ + ", d0 as (select lower(id) as id from en where entity_type = 'organization'), d1 as (select distinct y as id from adj where x in (select id from d0)), d2 as (select distinct y as id from adj where x in (select id from d1)), d3 as (select distinct y as id from adj where x in (select id from d2))", "select id, min(k)::bigint as distance, round(pow(0.5::double, min(k)), 6) as graph_score from (select id, 0 as k from d0 union all select id, 1 from d1 union all select id, 2 from d2 union all select id, 3 from d3) group by 1"),
-    "ppr": _q(_ADJ + ", deg as (select x, count(*) as deg from adj group by 1), sd as (select distinct lower(id) as id from en where entity_type = 'project'), base as (select id, 1.0::double / (select count(*) from sd) as seed from sd), r0 as (select id, seed as score from base), " + _PPR_ROUNDS, "select id, round(score, 8) as score from r8"),
     "relation_components": ("with recursive " + sql("")[5:]) + ", " + _ADJ + ", reach as (select x as id, x as other from adj union select reach.id, adj.y from reach join adj on reach.other = adj.x) select id, min(other) as component from reach group by 1",
     "resolve_alias": _q("e as (select id as entity_id, namespace as ens, lower(trim(name)) as n, coalesce(last_seen, first_seen) as seen from en), x as (select alias_id, entity_id, floor(epoch(seen))::bigint as s from graph_entity_aliases a join e on coalesce(a.namespace, 'default') = ens and lower(trim(alias)) = n)", "select alias_id, entity_id, round(0.7::double + 0.3::double * coalesce(case when max(s) over w > min(s) over w then (s - min(s) over w) / (max(s) over w - min(s) over w) else 1.0::double end, 0.0::double), 6) as score from x window w as (partition by alias_id)"),
     "canonical_entity_ids": sql("select id, substring(sha256(lower(trim(name)) || '|' || namespace), 1, 32) as canonical_id from en"),

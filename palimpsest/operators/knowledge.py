@@ -6,6 +6,8 @@ passes its own; all operators take DataFrames of memories, links and topics.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scoring as S
 from palimpsest.functions.common import checkpoint
 from palimpsest.operators.components import connected_components, pairs_within
+from palimpsest.operators.feedback import nearest_ranks
 from palimpsest.operators.retrieval import usable
+from palimpsest.operators.vector_join import cosine_join
 from palimpsest.sources import store
 from palimpsest.sources.store import NOW, seconds_between, sql
 
@@ -35,19 +39,22 @@ def shared_entities(mentions: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     return pairs_within(mentions, "entity_id", "memory_id", block=block).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def pair_candidates(spark: SparkSession, d: str, kept: DataFrame) -> DataFrame:
-    """Pairs (a, b, strength, shared) of ``kept`` memories (id) that a link or a shared entity suggests."""
+def pair_candidates(spark: SparkSession, d: str, kept: DataFrame, near: bool = False) -> DataFrame:
+    """Pairs (a, b, strength, shared) of ``kept`` memories (id) that a link, a shared entity or, if ``near``, a close vector suggests."""
     l = store.links(spark, d).filter("source_id <> target_id")
     linked = l.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.sum("strength").alias("strength"))
     me = store.mentions(spark, d).select("memory_id", "entity_id").distinct().join(kept, F.col("memory_id") == F.col("id"), "left_semi")
-    return linked.join(shared_entities(me), ["a", "b"], "full").select("a", "b", F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce("shared", F.lit(0)).alias("shared"))
+    p = linked.join(shared_entities(me), ["a", "b"], "full")
+    if near:
+        p = p.join(vector_pairs(spark, d).select("a", "b"), ["a", "b"], "full")
+    return p.select("a", "b", F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
-def pair_scores(spark: SparkSession, d: str) -> DataFrame:
+def pair_scores(spark: SparkSession, d: str, near: bool = False) -> DataFrame:
     """(a, b, score): weighted sum of link strength, entity Jaccard, cosine and closeness in time."""
     ents = store.mentions(spark, d).select("memory_id", "entity_id").distinct().groupBy("memory_id").agg(F.count("*").alias("n"))
     m = store.memories(spark, d, "importance", "deleted_at").filter("deleted_at is null and importance >= 0.3").select(F.lower("id").alias("id"), "created")
-    p = pair_candidates(spark, d, m.select("id"))
+    p = pair_candidates(spark, d, m.select("id"), near)
     m = m.join(ents, F.col("id") == F.col("memory_id"), "left").join(usable(spark, d).select(F.lower("id").alias("vid"), "v"), F.col("id") == F.col("vid"), "left")
     side = lambda s: m.select(F.col("id").alias(s), F.col("created").alias(f"t{s}"), F.coalesce("n", F.lit(0)).alias(f"n{s}"), F.col("v").alias(f"v{s}"))
     x = p.join(side("a"), "a").join(side("b"), "b")
@@ -76,17 +83,28 @@ def label_propagation(edges: DataFrame, rounds: int = 6) -> DataFrame:
     return lab
 
 
+def vector_pairs(spark: SparkSession, d: str, least: float = 0.85) -> DataFrame:
+    """(a, b, cosine): memories whose vectors are that close."""
+    return cosine_join(usable(spark, d).groupBy(F.lower("id").alias("id")).agg(F.min("v").alias("v")), least)
+
+
 def memory_clusters(spark: SparkSession, d: str, smallest: int = 3, largest: int = 15) -> DataFrame:
-    """Communities of memories with size, quality (mean score inside) and the member nearest to all others."""
-    e = checkpoint(cluster_pairs(spark, d))
+    """Communities of memories with size, quality (mean score inside) and the member nearest to all others.
+
+    Candidates come from links, shared entities and near vectors. A community
+    of more than ``largest`` memories keeps those that are closest to the rest
+    (``kept``); ``n`` is its whole size.
+    """
+    e = checkpoint(pair_scores(spark, d, near=True).filter("score >= 0.2"))
     lab = checkpoint(label_propagation(e))
     la, lb = lab.select(F.col("id").alias("a"), F.col("label").alias("la")), lab.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     inside = e.join(la, "a").join(lb, "b").filter("la = lb")
     q = inside.groupBy(F.col("la").alias("label")).agg(F.avg("score").alias("quality"))
-    size = lab.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n").between(smallest, largest))
+    size = lab.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
     mass = inside.select("la", F.col("a").alias("id"), "score").unionByName(inside.select("la", F.col("b").alias("id"), "score")).groupBy(F.col("la").alias("label"), "id").agg(F.sum("score").alias("s"))
-    centre = mass.groupBy("label").agg(F.min_by("id", F.struct(F.round(-F.col("s"), 9), F.col("id"))).alias("centre"))
-    return size.join(q, "label").join(centre, "label").select("label", "n", F.round("quality", 6).alias("quality"), "centre")
+    best = mass.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy(F.round(-F.col("s"), 9), "id"))).filter(F.col("r") <= largest)
+    members = best.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("kept"), F.min_by("id", "r").alias("centre"))
+    return size.join(q, "label").join(members, "label").select("label", "n", F.round("quality", 6).alias("quality"), "centre", "kept")
 
 
 def gate(quality: Column, size: Column, types: Column, duplicates: Column, covered: Column) -> Column:
@@ -107,10 +125,17 @@ def namespace_gate(spark: SparkSession, d: str) -> DataFrame:
     return g.select("namespace", "month", "n", "n_types", gate(F.col("quality"), F.col("n"), F.col("n_types"), F.coalesce("dup", F.lit(0.0)), F.col("covered")).alias("decision"), F.round(F.col("chars") / 4 * 1e-6, 9).alias("cost"))
 
 
+def insight_weight(importance: Column, confidence: Column, quality: Column) -> Column:
+    """Importance of an insight: mean importance of its sources, scaled by its confidence and the cluster's quality, at most 1."""
+    return F.least(F.lit(1.0), importance * (0.5 + 0.5 * confidence) * (0.8 + 0.2 * quality))
+
+
 def insight_importance(spark: SparkSession, d: str) -> DataFrame:
-    m = store.memories(spark, d, "memory_type", "importance", "core_strength")
-    g = m.groupBy("namespace", "memory_type").agg(F.avg("importance").alias("i"), F.avg("core_strength").alias("c"), F.count("*").alias("n"))
-    return g.select("namespace", "memory_type", "n", F.round(F.least(F.lit(1.0), F.col("i") * (0.5 + 0.5 * F.col("c"))) + 3.3e-8, 6).alias("importance"))
+    """For groups of one namespace and type: confidence is that of their mentions, quality the share that is still live."""
+    m = store.memories(spark, d, "memory_type", "importance", "deleted_at").select(F.lower("id").alias("id"), "namespace", "memory_type", "importance", F.col("deleted_at").isNull().cast("int").alias("live"))
+    sure = store.mentions(spark, d).groupBy("memory_id").agg(F.avg("confidence").alias("confidence"))
+    g = m.join(sure, F.col("id") == F.col("memory_id"), "left").groupBy("namespace", "memory_type").agg(F.count("*").alias("n"), F.avg("importance").alias("i"), F.avg("confidence").alias("c"), F.avg("live").alias("q"))
+    return g.select("namespace", "memory_type", "n", F.round(insight_weight(F.col("i"), F.coalesce("c", F.lit(0.0)), F.col("q")), 12).alias("importance"))
 
 
 def centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +156,7 @@ def assign_to_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    """Topic pages: the memories that mention one entity at least three times, with their sources and times."""
+    """Topic pages: the memories that mention one entity, with their times."""
     me = store.mentions(spark, d).select("memory_id", "entity_id").distinct()
     m = store.memories(spark, d, "deleted_at", "importance").select(F.lower("id").alias("id"), "created", "deleted_at", "importance")
     return me.join(m, F.col("memory_id") == F.col("id")).select(F.col("entity_id").alias("topic"), "id", "created", "deleted_at", "importance")
@@ -163,13 +188,11 @@ def link_audit(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("namespace", state.alias("state")).agg(F.count("*").alias("n"))
 
 
-def topic_overlap(spark: SparkSession, d: str, hub: int = 60) -> DataFrame:
-    """Topics whose sources overlap (Jaccard over 0.3) with the severity of the conflict. Memories in over ``hub`` topics pair none."""
-    t = topics(spark, d).select("topic", "id").distinct()
+def topic_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Topics whose sources overlap (Jaccard over 0.1) with the severity of the conflict. The topics of a memory meet in blocks."""
+    t = checkpoint(topics(spark, d).select("topic", "id").distinct())
     n = t.groupBy("topic").agg(F.count("*").alias("n"))
-    ok = t.groupBy("id").agg(F.count("*").alias("k")).filter(F.col("k") <= hub).select("id")
-    x = t.join(ok, "id")
-    p = x.join(x.select("id", F.col("topic").alias("other")), "id").filter("topic < other").groupBy("topic", "other").agg(F.count("*").alias("both"))
+    p = pairs_within(t, "id", "topic", "topic", "other").groupBy("topic", "other").agg(F.count("*").alias("both"))
     p = p.join(n, "topic").join(n.select(F.col("topic").alias("other"), F.col("n").alias("n2")), "other")
     o = F.round(F.col("both") / (F.col("n") + F.col("n2") - F.col("both")), 6)
     p = p.withColumn("overlap", o).filter("overlap > 0.1")
@@ -192,29 +215,86 @@ def change_detect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """For each embedding of a label, the one of the same label most like it, if the cosine is at least 0.85."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding")
-    b = e.select(F.col("vec_id").alias("other"), F.col("label").alias("l2"), F.col("embedding").alias("e2"))
-    p = e.join(b, (F.col("label") == F.col("l2")) & (F.col("vec_id") < F.col("other")))
-    p = p.withColumn("cosine", F.round(S.cosine(F.col("embedding"), F.col("e2")), 5)).filter("cosine >= 0.85")
-    return p.groupBy("vec_id").agg(F.count("*").alias("n"), F.max("cosine").alias("best"))
+    """Near-duplicate memories to reconcile: cosine at least 0.85, by 0.7 cosine + 0.3 entity Jaccard.
+
+    For each memory that has any: how many, and the best one with its cosine and score.
+    """
+    p = checkpoint(vector_pairs(spark, d))
+    me = store.mentions(spark, d).select("memory_id", "entity_id").distinct()
+    own = me.groupBy("memory_id").agg(F.count("*").alias("n"))
+    both = shared_pairs(p.select("a", "b"), me)
+    x = p.join(both, ["a", "b"], "left").join(own.select(F.col("memory_id").alias("a"), F.col("n").alias("na")), "a", "left").join(own.select(F.col("memory_id").alias("b"), F.col("n").alias("nb")), "b", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    union = zero("na") + zero("nb") - zero("shared")
+    x = x.withColumn("score", F.round(0.7 * F.col("cosine") + 0.3 * F.when(union > 0, zero("shared") / union).otherwise(0.0), 5)).withColumn("cosine", F.round("cosine", 5))
+    x = x.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine", "score").unionByName(x.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine", "score"))
+    return x.groupBy("id").agg(F.count("*").alias("n"), F.max("cosine").alias("closest"), F.max("score").alias("score"))
+
+
+def shared_pairs(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(a, b, shared): how many entities the given pairs share; only those pairs are looked at."""
+    x = pairs.join(mentions.select(F.col("memory_id").alias("a"), "entity_id"), "a")
+    return x.join(mentions.select(F.col("memory_id").alias("b"), "entity_id"), ["b", "entity_id"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
-    """Rank agreement of importance and core strength within each namespace and month (pairs only inside such a group)."""
-    m = store.memories(spark, d, "importance", "core_strength").select("namespace", F.date_format("created", "yyyy-MM").alias("month"), "id", "importance", "core_strength")
-    b = m.select("namespace", "month", F.col("id").alias("id2"), F.col("importance").alias("i2"), F.col("core_strength").alias("c2"))
-    p = m.join(b, ["namespace", "month"]).filter("id < id2")
-    s = F.signum(F.col("importance") - F.col("i2")) * F.signum(F.col("core_strength") - F.col("c2"))
-    return p.groupBy("namespace", "month").agg(F.count("*").alias("n_pairs"), F.round(F.sum(s) / F.count("*"), 6).alias("tau"))
+    """Rank agreement of importance and core strength within each namespace and month: (concordant - discordant) / pairs.
+
+    Discordant pairs are counted as inversions while one order is merged into
+    the other, in n log n for a group, instead of meeting all pairs.
+    """
+    m = store.memories(spark, d, "importance", "core_strength").select("namespace", F.date_format("created", "yyyy-MM").alias("month"), "importance", "core_strength")
+    # equal points count once with their number, so a group is as large as its distinct points
+    points = m.groupBy("namespace", "month", "importance", "core_strength").agg(F.count("*").alias("n"))
+    return points.groupBy("namespace", "month").applyInPandas(_tau, "namespace string, month string, n_pairs bigint, tau double")
+
+
+def _tau(x: pd.DataFrame) -> pd.DataFrame:
+    w = x["n"].to_numpy(np.int64)
+    a, b = x["importance"].to_numpy(float), x["core_strength"].to_numpy(float)
+    total = int(w.sum())
+    pairs = total * (total - 1) // 2
+    if not pairs:
+        return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("namespace", object), ("month", object), ("n_pairs", "int64"), ("tau", "float64"))})
+    usable_ = ~(np.isnan(a) | np.isnan(b))
+    a, b, w = a[usable_], b[usable_], w[usable_]
+    place = np.unique(b, return_inverse=True)[1]
+    tree = np.zeros(len(place) + 2, np.int64)
+
+    def below(i: int) -> int:
+        s = 0
+        while i > 0:
+            s += tree[i]
+            i -= i & -i
+        return int(s)
+
+    agree = seen = 0
+    order = np.argsort(a, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at
+        while end < len(order) and a[order[end]] == a[order[at]]:
+            end += 1
+        same = order[at:end]
+        for k in same:  # against all with a smaller importance: smaller strengths agree, greater ones do not
+            less, up_to = below(place[k]), below(place[k] + 1)
+            agree += int(w[k]) * (less - (seen - up_to))
+        for k in same:
+            i = place[k] + 1
+            while i < len(tree):
+                tree[i] += w[k]
+                i += i & -i
+            seen += int(w[k])
+        at = end
+    return pd.DataFrame({"namespace": [x["namespace"].iloc[0]], "month": [x["month"].iloc[0]], "n_pairs": [pairs], "tau": [round(agree / pairs, 6)]})
 
 
 def pipeline_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Outcome rates and latency quantiles (nearest rank) of events by type, as a metrics registry reports them."""
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("plan"), "value", "event_id")
-    r = e.withColumn("i", F.row_number().over(W.partitionBy("plan").orderBy("value", "event_id")) - 1).withColumn("n", F.count("*").over(W.partitionBy("plan")))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(p * (F.col("n") - 1) + 0.5), F.col("value")))
-    return r.groupBy("plan").agg(F.count("*").alias("total"), F.round(F.avg((F.col("value") < 5).cast("int")), 6).alias("empty_rate"), at(0.5).alias("p50"), at(0.99).alias("p99"))
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("plan"), "value")
+    g = e.groupBy("plan").agg(F.count("*").alias("total"), F.round(F.avg((F.col("value") < 5).cast("int")), 6).alias("empty_rate"))
+    q = nearest_ranks(e, "plan", "value", (0.5, 0.99)).groupBy("plan").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{int(100 * p)}") for p in (0.5, 0.99)])
+    return g.join(q, "plan")
 
 
 QUERIES = {
@@ -226,7 +306,7 @@ QUERIES = {
 }
 
 _COS2 = "(case when va is null or vb is null then 0.0::double else greatest(0.0::double, list_sum(list_transform(list_zip(va, vb), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(va, lambda z: z::double * z::double)) * list_sum(list_transform(vb, lambda z: z::double * z::double)))) end)"
-_US = "us as (select lower(memory_id) as vid, min(embedding) as v from memory_embeddings where model = 'nimbus-embed-64' and len(embedding) = 64 and memory_id is not null and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1)"
+VECTORS_SQL = "us as (select lower(memory_id) as vid, min(embedding) as v from memory_embeddings where model = 'nimbus-embed-64' and len(embedding) = 64 and memory_id is not null and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1)"
 _TOP = "tp as (select entity_id as topic, lower(m.id) as id, created, deleted_at, importance from (select distinct memory_id, entity_id from me) x join m on x.memory_id = lower(m.id))"
 _AGE = "((epoch_us(now) // 1000000 - epoch_us(created) // 1000000) / 86400.0::double)"
 
@@ -238,9 +318,9 @@ def _q(ctes: str, body: str) -> str:
 SQL = {
     "cluster_pairs": _q(
         f"""lk as (select least(source_id, target_id) as a, greatest(source_id, target_id) as b, sum(strength) as strength from hl where source_id <> target_id group by 1, 2),
-        dm as (select distinct memory_id, entity_id from me), rare as (select entity_id from dm group by 1 having count(*) <= 60),
-        sh as (select x.memory_id as a, y.memory_id as b, count(*) as shared from dm x join dm y on x.entity_id = y.entity_id and x.memory_id < y.memory_id where x.entity_id in (select entity_id from rare) group by 1, 2),
-        p as (select a, b, coalesce(strength, 0.0::double) as strength, coalesce(shared, 0) as shared from lk full join sh using (a, b)), ne as (select memory_id, count(*) as n from dm group by 1), {_US},
+        dm as (select distinct memory_id, entity_id from me),
+        sh as (select x.memory_id as a, y.memory_id as b, count(*) as shared from dm x join dm y on x.entity_id = y.entity_id and x.memory_id < y.memory_id group by 1, 2),
+        p as (select a, b, coalesce(strength, 0.0::double) as strength, coalesce(shared, 0) as shared from lk full join sh using (a, b)), ne as (select memory_id, count(*) as n from dm group by 1), {VECTORS_SQL},
         mm as (select lower(id) as id, created, coalesce(n, 0) as n, v from m left join ne on memory_id = lower(id) left join us on vid = lower(id) where deleted_at is null and importance >= 0.3),
         x as (select p.a, p.b, strength, shared, ma.n + mb.n - shared as u, ma.v as va, mb.v as vb, abs(epoch_us(ma.created) // 1000000 - epoch_us(mb.created) // 1000000) / 3600.0::double as hours from p join mm ma on p.a = ma.id join mm mb on p.b = mb.id),
         y as (select a, b, round(0.4::double * least(strength / 10, 1.0::double) + 0.3::double * (case when u > 0 then shared / u else 0.0::double end) + 0.2::double * {_COS2} + 0.1::double * exp(-0.00413::double * hours), 6) as score from x)""",
@@ -248,15 +328,19 @@ SQL = {
     ),
     "namespace_gate": sql("""select namespace, month, n, n_types, case when n < 3 then 'skip_small' when coalesce(dup, 0) >= 0.95 then 'auto_update' when covered >= 0.8 then 'skip_covered' when quality < 0.2 then 'skip_quality' when n_types < 2 then 'defer_uniform' when quality < 0.3 then 'defer_quality' else 'synthesize' end as decision, round(chars / 4 * 1e-6::double, 9) as cost
       from (select namespace, strftime(created, '%Y-%m') as month, count(*) as n, count(distinct memory_type) as n_types, avg(importance) as quality, avg((consolidation_count >= 5)::int) as covered, 1 - count(distinct content) / count(content) as dup, sum(length(coalesce(content, ''))) as chars from m group by 1, 2)"""),
-    "insight_importance": sql("select namespace, memory_type, count(*) as n, round(least(1.0::double, avg(importance) * (0.5::double + 0.5::double * avg(core_strength))) + 3.3e-8::double, 6) as importance from m group by 1, 2"),
+    "insight_importance": sql("select namespace, memory_type, count(*) as n, round(least(1.0::double, avg(importance) * (0.5::double + 0.5::double * coalesce(avg(confidence), 0)) * (0.8::double + 0.2::double * avg((deleted_at is null)::int))), 12) as importance from m left join (select memory_id, avg(confidence) as confidence from me group by 1) c on c.memory_id = lower(m.id) group by 1, 2"),
     "centroids": "with c as (select label, i - 1 as pos, avg(embedding[i]::double) as x from embeddings, range(1, 65) t(i) where i <= len(embedding) group by 1, 2) select label, round(sqrt(sum(x * x)), 5) as norm, " + ", ".join(f"round(max(x) filter (pos = {i}), 5) as c{i}" for i in range(4)) + " from c group by 1",
     "assign_to_centroids": "with c0 as (select label, i as pos, avg(embedding[i]::double) as x from embeddings, range(1, 65) t(i) where i <= len(embedding) group by 1, 2), c as (select label as c_label, list(x order by pos) as c from c0 group by 1), x as (select vec_id, label, c_label, round(list_sum(list_transform(list_zip(embedding, c), lambda z: z[1]::double * z[2])) / sqrt(list_sum(list_transform(embedding, lambda z: z::double * z::double)) * list_sum(list_transform(c, lambda z: z * z))), 6) as s from embeddings, c), b as (select *, row_number() over (partition by vec_id order by s desc, c_label) as r from x) select label, case when s < 0.6 then 'pending' else c_label::varchar end as assigned, count(*) as n from b where r = 1 group by 1, 2",
     "topic_freshness": _q(_TOP + f", g as (select topic, count(*) as n, sum(importance * pow(1 + {_AGE}, -1.5::double)) / sum(pow(1 + {_AGE}, -1.5::double)) as fresh, min({_AGE}) as youngest from tp, now_ group by 1)", "select topic, n, round(fresh, 6) as freshness, case when fresh >= 0.5::double + pow(1 + youngest, -0.5::double) then 'keep' when fresh >= pow(1 + youngest, -0.5::double) then 'refresh' else 'archive' end as action from g"),
     "topic_health": _q(_TOP, "select topic, count(*) as n, round(avg((deleted_at is null)::int), 6) as valid_share, round(0.4::double * avg(importance) + 0.3::double * avg((deleted_at is null)::int) + 0.2::double * least(1.0::double, count(*) / 10) + 0.1::double, 6) as score from tp group by 1 having count(*) >= 3"),
     "link_audit": sql("select namespace, case when source_id not in (select lower(id) from m where deleted_at is null) or target_id not in (select lower(id) from m where deleted_at is null) then 'broken' when strength < 0.2 then 'stale' else 'valid' end as state, count(*) as n from hl group by 1, 2"),
-    "topic_overlap": _q(_TOP + ", t as (select distinct topic, id from tp), n as (select topic, count(*) as n from t group by 1), ok as (select id from t group by 1 having count(*) <= 60), p as (select a.topic, b.topic as other, count(*) as both_ from t a join t b on a.id = b.id and a.topic < b.topic where a.id in (select id from ok) group by 1, 2), o as (select p.topic, other, round(both_ / (n.n + n2.n - both_), 6) as overlap from p join n on n.topic = p.topic join n n2 on n2.topic = other)", "select topic, other, overlap, case when overlap >= 0.8 then 'critical' when overlap >= 0.6 then 'high' when overlap >= 0.3 then 'medium' else 'low' end as severity from o where overlap > 0.1"),
+    "topic_overlap": _q(_TOP + ", t as (select distinct topic, id from tp), n as (select topic, count(*) as n from t group by 1), p as (select a.topic, b.topic as other, count(*) as both_ from t a join t b on a.id = b.id and a.topic < b.topic group by 1, 2), o as (select p.topic, other, round(both_ / (n.n + n2.n - both_), 6) as overlap from p join n on n.topic = p.topic join n n2 on n2.topic = other)", "select topic, other, overlap, case when overlap >= 0.8 then 'critical' when overlap >= 0.6 then 'high' when overlap >= 0.3 then 'medium' else 'low' end as severity from o where overlap > 0.1"),
     "change_detect": "select source, n, modified, removed, round((modified + removed) / n, 6) as ratio, case when (modified + removed) / n >= 0.5 then 'eager' when (modified + removed) / n >= 0.3 then 'lazy' else 'skip' end as trigger from (select source, count(*) as n, sum((updated_at > timestamp '2025-06-01')::int)::bigint as modified, sum((text is null)::int)::bigint as removed from documents group by 1)",
-    "nearest_duplicates": "with p as (select a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(a.embedding, lambda z: z::double * z::double)) * list_sum(list_transform(b.embedding, lambda z: z::double * z::double))), 5) as cosine from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) select vec_id, count(*) as n, max(cosine) as best from p where cosine >= 0.85 group by 1",
+    "nearest_duplicates": _q(VECTORS_SQL + """, x as (select a.vid as a, b.vid as b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(a.v, lambda z: z::double * z::double)) * list_sum(list_transform(b.v, lambda z: z::double * z::double))) as cosine from us a join us b on a.vid < b.vid),
+        p as (select * from x where cosine >= 0.85), dm as (select distinct memory_id, entity_id from me), ne as (select memory_id, count(*) as n from dm group by 1),
+        sh as (select a, b, count(*) as shared from p join dm x on x.memory_id = a join dm y on y.memory_id = b and x.entity_id = y.entity_id group by 1, 2),
+        s as (select a, b, round(cosine, 5) as cosine, round(0.7::double * cosine + 0.3::double * coalesce(coalesce(shared, 0) / nullif(coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(shared, 0), 0), 0), 5) as score from p left join sh using (a, b) left join ne na on na.memory_id = a left join ne nb on nb.memory_id = b)""",
+        "select id, count(*) as n, max(cosine) as closest, max(score) as score from (select a as id, cosine, score from s union all select b, cosine, score from s) group by 1"),
     "kendall_tau": sql("") + ", k as (select namespace, strftime(created, '%Y-%m') as month, id, importance, core_strength from m) select a.namespace, a.month, count(*) as n_pairs, round(sum(sign(a.importance - b.importance) * sign(a.core_strength - b.core_strength)) / count(*), 6) as tau from k a join k b on a.namespace = b.namespace and a.month = b.month and a.id < b.id group by 1, 2",
     "pipeline_metrics": "with r as (select event_type as plan, value, row_number() over (partition by event_type order by value, event_id) - 1 as i, count(*) over (partition by event_type) as n from events) select plan, count(*) as total, round(avg((value < 5)::int), 6) as empty_rate, max(value) filter (i = floor(0.5::double * (n - 1) + 0.5::double)) as p50, max(value) filter (i = floor(0.99::double * (n - 1) + 0.5::double)) as p99 from r group by 1",
 }

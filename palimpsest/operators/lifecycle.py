@@ -44,22 +44,30 @@ def rebalanced(m: DataFrame, promote: float = 0.25, demote: float = 0.05, archiv
 def consolidate(m: DataFrame, days: float = 1.0, preset: str = "default", seed: int = 7) -> DataFrame:
     """One cycle: transfer and decay of the working layer, replay of a share of the archive, decay of the core, rebalance.
 
-    The replayed share is the first ceil(ratio n) archived memories in a seeded
-    hash order, found by a threshold on the hash rather than a global sort.
+    The replayed share is exactly the first ceil(ratio n) archived memories in a
+    seeded hash order (ties by id). Counts of the hash's leading bits tell in
+    which of 4,096 slices the last one lies; only that slice is ranked.
     """
-
-
     p = S.preset(preset)
     pinned = F.coalesce(F.col("pinned"), F.lit(False))
     working, core, arch = (F.col("layer") == x for x in ("working", "core", "archive"))
-    m = m.withColumn("h", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)))
-    replay = arch & (F.col("h") < int(p["interleave_ratio"] * 1_000_000))
+    m = m.withColumn("h", F.xxhash64("id", F.lit(seed))).withColumn("slice", F.shiftrightunsigned("h", 52).cast("int"))
+    counts = {r["slice"]: r["n"] for r in m.filter(arch).groupBy("slice").agg(F.count("*").alias("n")).collect()}  # at most 4,096 rows
+    left, last = math.ceil(p["interleave_ratio"] * sum(counts.values())), 4096
+    for k in sorted(counts):
+        if left <= counts[k]:
+            last = k
+            break
+        left -= counts[k]
+    edge = m.filter(arch & (F.col("slice") == last)).select("id", F.row_number().over(W.orderBy("h", "id")).alias("place")).filter(F.col("place") <= left)
+    m = m.join(edge.select("id", F.lit(True).alias("edge")), "id", "left")
+    replay = arch & ((F.col("slice") < last) | F.coalesce("edge", F.lit(False)))
     moved = F.col("core_strength") + p["alpha"] * (0.2 + F.col("importance") * F.col("importance")) * F.col("working_strength") * days
     c = F.when(working, moved).when(replay, F.col("core_strength") + p["replay_boost"]).otherwise(F.col("core_strength"))
     m = m.withColumn("core_strength", c).withColumn("consolidation_count", F.col("consolidation_count") + (working | replay).cast("int"))
     c = F.when(~pinned & (working | core), F.col("core_strength") * math.exp(-p["mu2"] * days)).otherwise(F.col("core_strength"))
     w = F.when(~pinned & working, F.col("working_strength") * math.exp(-p["mu1"] * days)).otherwise(F.col("working_strength"))
-    return rebalanced(m.withColumn("core_strength", c).withColumn("working_strength", w), p["promote"], p["demote"], p["archive"]).drop("h")
+    return rebalanced(m.withColumn("core_strength", c).withColumn("working_strength", w), p["promote"], p["demote"], p["archive"]).drop("h", "slice", "edge")
 
 
 def _state(spark: SparkSession, d: str, *more: str) -> DataFrame:

@@ -81,13 +81,40 @@ def temporal_phrases(spark: SparkSession, d: str) -> DataFrame:
     return store.memories(spark, d, "content").groupBy(out.alias("phrase")).agg(F.count("*").alias("n"))
 
 
+#: The phrases that are grounded.
+GROUNDED = r"\b(?:yesterday|today|tomorrow|(?:last|this|next)\s+(?:week|month|year)|\d+\s+(?:days?|weeks?)\s+ago)\b"
+
+
+def phrase_start(phrase: Column, day: Column) -> Column:
+    """The first day that a phrase means, seen from ``day``: weeks start on Monday; null where it means none."""
+    p = F.regexp_replace(F.lower(phrase), r"\s+", " ")
+    steps = F.when(p.startswith("last"), -1).when(p.startswith("next"), 1).otherwise(0)
+    n = F.regexp_extract(p, r"^(\d+)", 1).try_cast("int")
+    return (
+        F.when(p == "yesterday", F.date_sub(day, 1)).when(p == "today", day).when(p == "tomorrow", F.date_add(day, 1))
+        .when(p.endswith(" week"), F.date_add(F.trunc(day, "week"), 7 * steps))
+        .when(p.endswith(" month"), F.add_months(F.trunc(day, "month"), steps))
+        .when(p.endswith(" year"), F.add_months(F.trunc(day, "year"), 12 * steps))
+        .when(p.rlike("days? ago$"), F.date_sub(day, n)).when(p.rlike("weeks? ago$"), F.date_sub(day, 7 * n))
+    )
+
+
+def grounded(content: Column, day: Column) -> Column:
+    """The text with each phrase followed by its date in brackets; one that has its date already stays."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit("(?i)" + GROUNDED), 0), lambda x: F.lower(x)))
+
+    def put(text: Column, phrase: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?i)(?<!\d)\b("), phrase, F.lit(r")\b(?! \(\d{4}-\d{2}-\d{2}\))"))
+        date = F.date_format(phrase_start(phrase, day), "yyyy-MM-dd")
+        return F.when(date.isNotNull(), F.regexp_replace(text, pattern, F.concat(F.lit("$1 ("), date, F.lit(")")))).otherwise(text)
+
+    return F.aggregate(found, content, put)
+
+
 def ground_dates(spark: SparkSession, d: str) -> DataFrame:
-    """"yesterday", "last week" and the like get their date after them, once, relative to the memory's own time."""
+    """Phrases such as "yesterday", "last week" or "3 days ago" get their date after them, relative to the memory's own time."""
     m = store.memories(spark, d, "content").filter("content is not null")
-    day = lambda n: F.date_format(F.date_sub(F.col("event_time").cast("date"), n), "yyyy-MM-dd")
-    c = F.col("content")
-    for rx, n in ((r"(?i)\b(early this morning)\b(?! \()", 0), (r"(?i)\b(over the past month)\b(?! \()", 30), (r"(?i)\b(last release)\b(?! \()", 7)):
-        c = F.regexp_replace(c, F.lit(rx), F.concat(F.lit("$1 ("), day(n), F.lit(")")))
+    c = grounded(F.col("content"), F.col("event_time").cast("date"))
     return m.select("id", F.sha2(c, 256).alias("grounded"), (c != F.col("content")).alias("changed"))
 
 

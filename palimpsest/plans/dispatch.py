@@ -12,7 +12,7 @@ SIGNAL_PATTERNS = {
     "abstract": r"(?i)\b(overview|summar\w+|in general|theme|pattern|usually)\b",
     "affective": r"(?i)\b(feel\w*|happy|sad|angry|afraid|worried|love|hate|upset)\b",
 }
-FALLBACK = {"factual": "associative", "episodic": "factual", "abstract": "factual", "affective": "factual", "hybrid": "factual"}
+FALLBACK = {"factual": "associative", "episodic": "associative", "abstract": "associative", "affective": "associative", "hybrid": "factual"}
 
 
 @dataclass
