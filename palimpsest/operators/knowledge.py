@@ -133,9 +133,10 @@ def insight_weight(importance: Column, confidence: Column, quality: Column) -> C
 def insight_importance(spark: SparkSession, d: str) -> DataFrame:
     """For groups of one namespace and type: confidence is that of their mentions, quality the share that is still live."""
     m = store.memories(spark, d, "memory_type", "importance", "deleted_at").select(F.lower("id").alias("id"), "namespace", "memory_type", "importance", F.col("deleted_at").isNull().cast("int").alias("live"))
-    sure = store.mentions(spark, d).groupBy("memory_id").agg(F.avg("confidence").alias("confidence"))
-    g = m.join(sure, F.col("id") == F.col("memory_id"), "left").groupBy("namespace", "memory_type").agg(F.count("*").alias("n"), F.avg("importance").alias("i"), F.avg("confidence").alias("c"), F.avg("live").alias("q"))
-    return g.select("namespace", "memory_type", "n", F.round(insight_weight(F.col("i"), F.coalesce("c", F.lit(0.0)), F.col("q")), 12).alias("importance"))
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,6)"))  # noqa: E731  # sums that do not depend on the order of the rows
+    sure = store.mentions(spark, d).filter("confidence is not null").groupBy("memory_id").agg(exact("confidence").alias("c"), F.count("*").alias("k"))
+    g = m.join(sure, F.col("id") == F.col("memory_id"), "left").groupBy("namespace", "memory_type").agg(F.count("*").alias("n"), (exact("importance").cast("double") / F.count("importance")).alias("i"), (F.sum("c").cast("double") / F.sum("k")).alias("c"), (F.sum("live") / F.count("*")).alias("q"))
+    return g.select("namespace", "memory_type", "n", F.round(insight_weight(F.col("i"), F.coalesce("c", F.lit(0.0)), F.col("q")), 9).alias("importance"))
 
 
 def centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -328,7 +329,7 @@ SQL = {
     ),
     "namespace_gate": sql("""select namespace, month, n, n_types, case when n < 3 then 'skip_small' when coalesce(dup, 0) >= 0.95 then 'auto_update' when covered >= 0.8 then 'skip_covered' when quality < 0.2 then 'skip_quality' when n_types < 2 then 'defer_uniform' when quality < 0.3 then 'defer_quality' else 'synthesize' end as decision, round(chars / 4 * 1e-6::double, 9) as cost
       from (select namespace, strftime(created, '%Y-%m') as month, count(*) as n, count(distinct memory_type) as n_types, avg(importance) as quality, avg((consolidation_count >= 5)::int) as covered, 1 - count(distinct content) / count(content) as dup, sum(length(coalesce(content, ''))) as chars from m group by 1, 2)"""),
-    "insight_importance": sql("select namespace, memory_type, count(*) as n, round(least(1.0::double, avg(importance) * (0.5::double + 0.5::double * coalesce(avg(confidence), 0)) * (0.8::double + 0.2::double * avg((deleted_at is null)::int))), 12) as importance from m left join (select memory_id, avg(confidence) as confidence from me group by 1) c on c.memory_id = lower(m.id) group by 1, 2"),
+    "insight_importance": sql("select namespace, memory_type, count(*) as n, round(least(1.0::double, sum(importance::decimal(18,6))::double / count(importance) * (0.5::double + 0.5::double * coalesce(sum(c)::double / sum(k), 0)) * (0.8::double + 0.2::double * (sum((deleted_at is null)::int) / count(*)))), 9) as importance from m left join (select memory_id, sum(confidence::decimal(18,6)) as c, count(*) as k from me where confidence is not null group by 1) c on c.memory_id = lower(m.id) group by 1, 2"),
     "centroids": "with c as (select label, i - 1 as pos, avg(embedding[i]::double) as x from embeddings, range(1, 65) t(i) where i <= len(embedding) group by 1, 2) select label, round(sqrt(sum(x * x)), 5) as norm, " + ", ".join(f"round(max(x) filter (pos = {i}), 5) as c{i}" for i in range(4)) + " from c group by 1",
     "assign_to_centroids": "with c0 as (select label, i as pos, avg(embedding[i]::double) as x from embeddings, range(1, 65) t(i) where i <= len(embedding) group by 1, 2), c as (select label as c_label, list(x order by pos) as c from c0 group by 1), x as (select vec_id, label, c_label, round(list_sum(list_transform(list_zip(embedding, c), lambda z: z[1]::double * z[2])) / sqrt(list_sum(list_transform(embedding, lambda z: z::double * z::double)) * list_sum(list_transform(c, lambda z: z * z))), 6) as s from embeddings, c), b as (select *, row_number() over (partition by vec_id order by s desc, c_label) as r from x) select label, case when s < 0.6 then 'pending' else c_label::varchar end as assigned, count(*) as n from b where r = 1 group by 1, 2",
     "topic_freshness": _q(_TOP + f", g as (select topic, count(*) as n, sum(importance * pow(1 + {_AGE}, -1.5::double)) / sum(pow(1 + {_AGE}, -1.5::double)) as fresh, min({_AGE}) as youngest from tp, now_ group by 1)", "select topic, n, round(fresh, 6) as freshness, case when fresh >= 0.5::double + pow(1 + youngest, -0.5::double) then 'keep' when fresh >= pow(1 + youngest, -0.5::double) then 'refresh' else 'archive' end as action from g"),
