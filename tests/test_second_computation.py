@@ -177,3 +177,23 @@ def test_duplicate_topics(spark, data):
         x, y = sorted((find(a), find(b)))
         parent[y] = x
     assert {(r["topic"], r["keep"]) for r in knowledge.duplicate_topics(spark, data).collect()} == {(t, find(t)) for t in list(parent)}
+
+
+def test_recall_answers(spark, data):
+    """The best 30 candidates of the question, thinned in order."""
+    from palimpsest.operators import recall
+
+    rows = recall.recall_question(spark, data).toPandas().sort_values(["score", "id"], ascending=[False, True])
+    vectors = {r[0]: np.array(r[1], float) for r in retrieval.usable(spark, data).collect()}
+    kept = []
+    for i in rows["id"]:
+        v = vectors.get(i)
+        if len(kept) < 10 and (v is None or all(vectors.get(k) is None or float(v @ vectors[k]) / (np.linalg.norm(v) * np.linalg.norm(vectors[k])) <= 0.85 for k in kept)):
+            kept.append(i)
+    assert {r["id"] for r in recall.recall_answers(spark, data).collect()} == set(kept)
+    # silent channels, an empty question and a namespace
+    assert recall.recall(spark, data, "").count() == 0
+    some = recall.recall_scored(spark, data, "retry queue", namespace="atlas").toPandas()
+    assert set(some["emb"]) <= {0.0} and set(some["somatic"]) <= {0.0}
+    m = recall.update_marker(recall.Marker(-0.5, 1), spark.createDataFrame([("emotional", 0.5), ("factual", 0.9)], "memory_type string, importance double"))
+    assert m == recall.Marker(0.0, 2)
