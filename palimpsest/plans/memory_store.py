@@ -3,7 +3,7 @@
 Tables are append-only Parquet folders. A change appends the new version of a
 row; a reader takes the newest version of each key (merge on read), so writing
 never rewrites what is there, and ``compact`` folds the versions when they pile
-up. Every call takes its time from ``now``; nothing reads the clock.
+up. Every call takes its time from ``now``; the clock only orders the writes.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
+import secrets
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +33,8 @@ SCHEMAS = {
     "emotions": "domain string, valence double, ts timestamp_ntz",
 }
 KEYS = {"memories": ["id"], "links": ["a", "b", "namespace"], "quarantine": ["id"], "acl": ["agent", "namespace"], "subscriptions": ["agent", "namespace"], "cursors": ["agent"]}
+#: Tables that hold something of a memory, and by which columns.
+OWNED = {"memories": ["id"], "accesses": ["memory_id"], "links": ["a", "b"], "provenance": ["insight_id", "source_id"], "mentions": ["memory_id"], "embeddings": ["memory_id"], "triples": ["memory_id"]}
 MAX_CHARS = 1_000_000
 LINK_THRESHOLD = 3
 
@@ -47,10 +51,17 @@ class MemoryStore:
         schema = SCHEMAS[name] + ", seq bigint, removed boolean"
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._has(name) else self.spark.createDataFrame([], schema)
 
+    def _fs(self) -> tuple:
+        P = self.spark._jvm.org.apache.hadoop.fs.Path
+        return P, P(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _has(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        P, fs = self._fs()
+        if not fs.exists(P(f"{self.path}/{name}")):
+            # a fold that stopped between its two renames: the old versions are still whole
+            if fs.exists(P(f"{self.path}/{name}.old")):
+                fs.rename(P(f"{self.path}/{name}.old"), P(f"{self.path}/{name}"))
+        return fs.exists(P(f"{self.path}/{name}"))
 
     def table(self, name: str) -> DataFrame:
         """The newest version of each row."""
@@ -62,7 +73,9 @@ class MemoryStore:
         return one.filter("not removed").drop("seq", "removed")
 
     def _seq(self, name: str) -> int:
-        return (self.versions(name).agg(F.max("seq")).first()[0] or 0) + 1
+        """A number for this write: the time with random low bits, greater than those this store gave before. No table is read."""
+        self._last = max(getattr(self, "_last", 0) + 1, (time.time_ns() // 1000 << 10) + secrets.randbelow(1 << 10))
+        return self._last
 
     def append(self, name: str, rows: DataFrame, removed: bool = False) -> None:
         cols = [c.split()[0] for c in SCHEMAS[name].split(", ")]
@@ -73,11 +86,10 @@ class MemoryStore:
         return self.spark.createDataFrame(rows, SCHEMAS[name])
 
     def compact(self, name: str) -> None:
-        """Fold the versions into one; the old folder goes once the new one is there."""
+        """Fold the versions into one. A stop between the renames leaves the old folder, which the next reader takes back."""
         self.table(name).withColumn("seq", F.lit(1).cast("bigint")).withColumn("removed", F.lit(False)).write.mode("overwrite").parquet(f"{self.path}/{name}.new")
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        P = jvm.org.apache.hadoop.fs.Path
-        fs = P(self.path).getFileSystem(conf)
+        P, fs = self._fs()
+        fs.delete(P(f"{self.path}/{name}.old"), True)
         fs.rename(P(f"{self.path}/{name}"), P(f"{self.path}/{name}.old"))
         fs.rename(P(f"{self.path}/{name}.new"), P(f"{self.path}/{name}"))
         fs.delete(P(f"{self.path}/{name}.old"), True)
@@ -122,6 +134,37 @@ class MemoryStore:
         self.add(content, **kw)
         return "stored"
 
+    def count_quarantine(self) -> int:
+        return self.table("quarantine").count()
+
+    def purge_quarantine(self, most: int = 3, days: int = 30) -> int:
+        """Texts refused ``most`` times go after so many days."""
+        old = lifecycle.checkpoint(self.table("quarantine").filter((F.col("attempts") >= most) & (F.col("at") < F.lit(self.now - datetime.timedelta(days=days)))))
+        n = old.count()
+        if n:
+            self.append("quarantine", old, removed=True)
+        return n
+
+    def namespaces(self) -> list[str]:
+        return sorted(r[0] for r in self.table("memories").select("namespace").distinct().collect())
+
+    def reconcile(self, pairs: DataFrame, dry_run: bool = True) -> dict[str, int]:
+        """Near-copies (a, b): the weaker of each pair is superseded by the stronger; nothing is changed on a dry run.
+
+        A memory gives way once, to the best of those it is paired with, and one that gives way takes no other in.
+        """
+        m = self.live().select("id", "importance")
+        p = pairs.select("a", "b").join(m.select(F.col("id").alias("a"), F.col("importance").alias("ia")), "a").join(m.select(F.col("id").alias("b"), F.col("importance").alias("ib")), "b")
+        weaker = (F.col("ia") < F.col("ib")) | ((F.col("ia") == F.col("ib")) & (F.col("a") > F.col("b")))
+        p = p.select(F.when(weaker, F.col("a")).otherwise(F.col("b")).alias("lost"), F.when(weaker, F.col("b")).otherwise(F.col("a")).alias("won"), F.greatest("ia", "ib").alias("i"))
+        best = p.groupBy("lost").agg(F.max_by("won", F.struct("i", "won")).alias("won"))
+        best = lifecycle.checkpoint(best.join(best.select(F.col("lost").alias("won")), "won", "left_anti"))
+        n = best.count()
+        if n and not dry_run:
+            new = self.table("memories").join(best.withColumnRenamed("lost", "id"), "id").withColumn("superseded_by", F.col("won")).drop("won")
+            self.append("memories", lifecycle.checkpoint(new))
+        return {"found": pairs.count(), "merged": 0 if dry_run else n, "would_merge": n}
+
     def retry_quarantined(self, accept: Callable[[str], bool], most: int = 3) -> dict[str, int]:
         rows = self.table("quarantine").filter(F.col("attempts") < most).limit(1000).collect()  # a bounded batch
         done = [r for r in rows if accept(r["content"])]
@@ -167,15 +210,29 @@ class MemoryStore:
         return self.change(F.col("id") == key, superseded_by=F.lit(None).cast("string"))
 
     def forget(self, key: str, soft: bool = True) -> int:
+        """Mark a memory as deleted; or, not ``soft``, remove it with its accesses, links, mentions, vectors and provenance, old versions included."""
         if soft:
             return self.change((F.col("id") == key) & F.col("deleted_at").isNull(), deleted_at=F.lit(self.now).cast("timestamp_ntz"))
-        gone = self.table("memories").filter(F.col("id") == key)
-        n = gone.count()
-        self.append("memories", gone, removed=True)
-        ends = self.table("links").filter((F.col("a") == key) | (F.col("b") == key))
-        self.append("links", ends, removed=True)
+        n = self.table("memories").filter(F.col("id") == key).count()
+        for name, columns in OWNED.items():
+            if name in SCHEMAS and self._has(name):
+                mine = F.lit(False)
+                for c in columns:
+                    mine = mine | F.coalesce(F.col(c) == key, F.lit(False))
+                self._erase(name, mine)
         return n
 
+    def _erase(self, name: str, gone: Column) -> None:
+        """Rewrite a table's versions without some rows, so that no older version keeps what they held."""
+        kept = self.versions(name).filter(~gone)
+        if kept.count() < self.versions(name).count():
+            kept.write.mode("overwrite").parquet(f"{self.path}/{name}.new")
+            P, fs = self._fs()
+            fs.delete(P(f"{self.path}/{name}.old"), True)
+            fs.rename(P(f"{self.path}/{name}"), P(f"{self.path}/{name}.old"))
+            fs.rename(P(f"{self.path}/{name}.new"), P(f"{self.path}/{name}"))
+            fs.delete(P(f"{self.path}/{name}.old"), True)
+
     def access(self, keys: Sequence[str]) -> None:
         """Record accesses and the co-activation of every pair; a link forms at the third and then grows to at most 1."""
         self.append("accesses", self._rows("accesses", [(k, self.now) for k in keys]))
@@ -294,8 +351,8 @@ class MemoryStore:
         m = self.live()
         if seen is not None:
             m = m.filter(F.col("created") > F.lit(seen["seen"]))
-        hit = m.join(F.broadcast(s), ((F.col("want") == "*") | (F.col("want") == F.col("namespace"))) & (F.col("importance") >= F.col("min_importance")))
-        out = lifecycle.checkpoint(hit.select("id", "content", "importance", "created").distinct().orderBy(F.desc("created"), "id"))
+        hit = m.join(s, ((F.col("want") == "*") | (F.col("want") == F.col("namespace"))) & (F.col("importance") >= F.col("min_importance")))
+        out = lifecycle.checkpoint(hit.select("id", "content", "importance", "created").distinct()).orderBy(F.desc("created"), "id")
         if advance:
             self.append("cursors", self._rows("cursors", [(agent, self.now)]))
         return out
