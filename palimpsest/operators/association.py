@@ -76,9 +76,7 @@ def discover_associations(spark: SparkSession, d: str) -> DataFrame:
 def access_coactivation(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of memories accessed in the same five minutes, at least twice: what an association would form from."""
     a = store.accesses(spark, d).select("memory_id", F.floor(F.unix_seconds(F.col("accessed_at").cast("timestamp")) / 300).alias("slot")).distinct()
-    b = a.select("slot", F.col("memory_id").alias("other"))
-    p = a.join(b, "slot").filter("memory_id < other")
-    return p.groupBy("memory_id", "other").agg(F.count("*").alias("n")).filter("n >= 2")
+    return pairs_within(a, "slot", "memory_id", "memory_id", "other").groupBy("memory_id", "other").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
 def affective_plan(spark: SparkSession, d: str) -> DataFrame:

@@ -68,10 +68,32 @@ def _metric(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("metric"), "value")
 
 
+def in_chunks(df: DataFrame, key: str, order: Sequence[str], size: int, rows: int = 10_000) -> DataFrame:
+    """``df`` with ``_chunk`` and ``_own``, for windows over the ``size`` rows before each one that no task sorts a whole key for.
+
+    A row's position within its key comes from the counts of the days before and
+    its place within its day; each ``rows`` positions are a chunk, which also
+    gets a copy (not ``_own``) of the ``size`` rows before it. ``order`` starts
+    with a timestamp.
+    """
+    day = F.date_trunc("day", order[0])
+    x = df.withColumn("_day", day)
+    counts = x.groupBy(F.col(key).alias("_k"), F.col("_day").alias("_d")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy("_k").orderBy("_d")) - F.col("_n")).drop("_n")  # a row a day
+    x = x.join(before, F.col(key).eqNullSafe(F.col("_k")) & F.col("_day").eqNullSafe(F.col("_d"))).drop("_k", "_d")
+    at = F.col("_before") + F.row_number().over(W.partitionBy(key, "_day").orderBy(*order)) - 1
+    rows = max(rows, size)
+    x = x.withColumn("_at", at).withColumn("_home", F.floor(F.col("_at") / rows))
+    ahead = F.col("_at") >= (F.col("_home") + 1) * rows - size
+    x = x.withColumn("_chunk", F.explode(F.when(ahead, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))))
+    return x.withColumn("_own", F.col("_chunk") == F.col("_home")).drop("_day", "_before", "_at", "_home")
+
+
 def baselines(df: DataFrame, metric: str, order: Sequence[str], value: str, size: int = 100) -> DataFrame:
     """Mean, sample deviation and count of the ``size`` values before each one."""
-    w = W.partitionBy(metric).orderBy(*order).rowsBetween(-size, -1)
-    return df.withColumn("mean", F.avg(value).over(w)).withColumn("std", F.stddev_samp(value).over(w)).withColumn("n", F.count(value).over(w))
+    w = W.partitionBy(metric, "_chunk").orderBy(*order).rowsBetween(-size, -1)
+    x = in_chunks(df, metric, order, size)
+    return x.withColumn("mean", F.avg(value).over(w)).withColumn("std", F.stddev_samp(value).over(w)).withColumn("n", F.count(value).over(w)).filter("_own").drop("_chunk", "_own")
 
 
 def direction(value: Column, mean: Column, std: Column, n: Column, sigma: float, least: int) -> Column:
@@ -161,9 +183,9 @@ def acl_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def turn_window_context(spark: SparkSession, d: str) -> DataFrame:
     """Each memory with the types of the four before it in its namespace."""
-    m = store.memories(spark, d, "memory_type")
-    w = W.partitionBy("namespace").orderBy("created", "id").rowsBetween(-4, -1)
-    return m.select("id", F.array_join(F.collect_list("memory_type").over(w), ",").alias("context"))
+    m = in_chunks(store.memories(spark, d, "memory_type").select("id", "namespace", "created", "memory_type"), "namespace", ("created", "id"), 4)
+    w = W.partitionBy("namespace", "_chunk").orderBy("created", "id").rowsBetween(-4, -1)
+    return m.select("id", F.array_join(F.collect_list("memory_type").over(w), ",").alias("context"), "_own").filter("_own").drop("_own")
 
 
 def metacognition_report(spark: SparkSession, d: str) -> DataFrame:

@@ -197,3 +197,21 @@ def test_recall_answers(spark, data):
     assert set(some["emb"]) <= {0.0} and set(some["somatic"]) <= {0.0}
     m = recall.update_marker(recall.Marker(-0.5, 1), spark.createDataFrame([("emotional", 0.5), ("factual", 0.9)], "memory_type string, importance double"))
     assert m == recall.Marker(0.0, 2)
+
+
+def test_windows_in_chunks(spark):
+    """Chunks of few rows give what one window over a key's whole history gives."""
+    from pyspark.sql import Window as W
+
+    from palimpsest.operators.feedback import in_chunks
+
+    rng = np.random.default_rng(9)
+    at = datetime.datetime(2025, 1, 1)
+    rows = [("ab"[int(rng.integers(0, 2))] if i % 50 else None, at + datetime.timedelta(hours=float(rng.exponential(40)) if i % 3 else 5), i, float(rng.normal())) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int, v double")
+    w = W.partitionBy("k").orderBy("ts", "id").rowsBetween(-7, -1)
+    want = {r["id"]: r["x"] for r in df.select("id", F.collect_list("id").over(w).alias("x")).collect()}
+    w = W.partitionBy("k", "_chunk").orderBy("ts", "id").rowsBetween(-7, -1)
+    x = in_chunks(df, "k", ("ts", "id"), 7, rows=20)
+    got = {r["id"]: r["x"] for r in x.select("id", "_own", F.collect_list("id").over(w).alias("x")).filter("_own").collect()}
+    assert got == want and x.filter("_own").count() == 700
