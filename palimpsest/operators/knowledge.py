@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
-from palimpsest.functions.common import checkpoint
+from palimpsest.functions.common import checkpoint, release, unbroadcast
 from palimpsest.operators.components import connected_components, pairs_within
 from palimpsest.operators.feedback import nearest_ranks
 from palimpsest.operators.retrieval import usable
@@ -71,15 +71,21 @@ def cluster_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pair_scores(spark, d).filter("score >= 0.2")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """(id, label) by synchronous weighted label propagation; ties go to the smaller label, so it is deterministic."""
+def label_propagation(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """(id, label) by weighted label propagation; ties go to the smaller label, so it is deterministic.
+
+    Half of the nodes, by a hash of node and round, move in a round: two that
+    prefer each other would swap their labels for ever if both always moved at once.
+    """
     both = checkpoint(edges.select("a", "b", "score").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")))
     lab = checkpoint(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
-        votes = both.join(lab, F.col("b") == F.col("id")).groupBy("a", "label").agg(F.sum("score").alias("w"))
+    for i in range(rounds):
+        moves = F.pmod(F.xxhash64("a", F.lit(i)), F.lit(2)) == 0
+        votes = both.filter(moves).join(unbroadcast(lab), F.col("b") == F.col("id")).groupBy("a", "label").agg(F.sum("score").alias("w"))
         own = lab.select(F.col("id").alias("a"), "label", F.lit(1e-9).alias("w"))
         best = votes.unionByName(own).groupBy("a", "label").agg(F.sum("w").alias("w")).groupBy("a").agg(F.min_by("label", F.struct(F.round(-F.col("w"), 9), F.col("label"))).alias("label"))
-        lab = checkpoint(best.select(F.col("a").alias("id"), "label"))
+        before, lab = lab, checkpoint(best.select(F.col("a").alias("id"), "label"))
+        release(before)
     return lab
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,10 +143,6 @@ def export_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def rerank(candidates: DataFrame, query: str, score: Callable[[str, str], float], text: str = "content") -> DataFrame:
     """``candidates`` (id, ...) with ``rerank_score`` from a scorer that a user supplies, such as a cross-encoder; squashed to 0..1."""
-    import math
-
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([1 / (1 + math.exp(-score(query, t or ""))) for t in texts], dtype="float64")
