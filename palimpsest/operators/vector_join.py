@@ -30,7 +30,7 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cosine_join(vectors: DataFrame, least: float, *, pivots: int = 256, block: int = 2_000, within: tuple[str, ...] = ()) -> DataFrame:
+def cosine_join(vectors: DataFrame, least: float, *, pivots: int = 256, block: int = 1_000, within: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, cosine): pairs of ids of ``vectors`` (id, v, and the columns ``within`` that pairs share) with a < b and at least that cosine."""
     spark = vectors.sparkSession
     ok = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & F.exists("v", lambda x: x != 0)
@@ -71,17 +71,19 @@ def cosine_join(vectors: DataFrame, least: float, *, pivots: int = 256, block: i
 
     def meet(base: pa.Table, guest: pa.Table) -> pa.Table:
         a, b, c = [], [], []
-        if base.num_rows and guest.num_rows:
-            left, ids = _unit(base["v"].combine_chunks()), np.array(base["id"].to_pylist())
-            for lo in range(0, guest.num_rows, 512):
-                part = guest.slice(lo, 512)
-                names = np.array(part["id"].to_pylist())
-                sim = left @ _unit(part["v"].combine_chunks()).T
+        left, right = base["id"].combine_chunks(), guest["id"].combine_chunks()
+        if len(left) and len(right):
+            # ids are compared by their ranks and taken by their places: no text is copied but into the result
+            rank = np.unique(np.array(left.to_pylist() + right.to_pylist()), return_inverse=True)[1]
+            x = _unit(base["v"].combine_chunks())
+            for lo in range(0, len(right), 256):
+                sim = x @ _unit(guest["v"].slice(lo, 256).combine_chunks()).T
                 i, j = np.nonzero(sim >= least - 1e-9)
-                keep = ids[i] < names[j]  # the home of the smaller id reports the pair
-                a.append(ids[i[keep]]), b.append(names[j[keep]]), c.append(sim[i[keep], j[keep]])
+                keep = rank[i] < rank[len(left) + lo + j]  # the home of the smaller id reports the pair
+                i, j = i[keep], j[keep]
+                a.append(i.astype(np.int32)), b.append((lo + j).astype(np.int32)), c.append(sim[i, j])
         whole = lambda parts, t: np.concatenate(parts) if parts else np.array([], t)
-        return pa.table({"a": pa.array(whole(a, str).tolist(), pa.string()), "b": pa.array(whole(b, str).tolist(), pa.string()), "cosine": pa.array(whole(c, float), pa.float64())})
+        return pa.table({"a": left.take(pa.array(whole(a, np.int32))), "b": right.take(pa.array(whole(b, np.int32))), "cosine": pa.array(whole(c, float), pa.float64())})
 
     keys = ["home", "w", "block", "turn"]
     again = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
