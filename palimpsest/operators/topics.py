@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.functions.common import checkpoint, table
+from palimpsest.operators import vector_join
 from palimpsest.operators.components import pairs_within
 from palimpsest.operators.knowledge import SQL as KNOWLEDGE_SQL
-from palimpsest.operators.knowledge import VECTORS_SQL, label_propagation, topic_overlap
-from palimpsest.operators.retrieval import usable
-from palimpsest.operators.vector_join import cosine_join
+from palimpsest.operators.knowledge import VECTORS_SQL, label_propagation, memory_vectors, topic_overlap
+from palimpsest.operators.vector_join import Best, Block
 from palimpsest.sources import store
 from palimpsest.sources.store import NOW, NOW_SQL, seconds_between, sql
 
@@ -56,12 +57,23 @@ def compile_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def mutual_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of one namespace that are among the nearest of each other, by cosine, from 0.6 on."""
-    v = usable(spark, d).groupBy(F.lower("id").alias("id")).agg(F.min("v").alias("v"))
-    m = store.memories(spark, d, "deleted_at").filter("deleted_at is null").select(F.lower("id").alias("id"), "namespace").dropDuplicates(["id"])
-    v = checkpoint(v.join(m, "id"))
-    p = cosine_join(v, LEAST_COSINE, within=("namespace",)).withColumn("cosine", F.round("cosine", 6))
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).join(v.select(F.col("id").alias("a"), "namespace"), "a")
+    m = store.memories(spark, d, "deleted_at").filter("deleted_at is null").groupBy(F.lower("id").alias("id")).agg(F.min("namespace").alias("namespace"))
+    v = checkpoint(memory_vectors(spark, d).join(m, "id"))
     k = v.groupBy("namespace").agg(neighbours_of(F.count("*")).alias("k"))
+    packed = vector_join.blocks(v.join(k, "namespace"), within=("namespace",), extra=("k",))
+    if packed is None:
+        return spark.createDataFrame([], "a string, b string, cosine double")
+
+    class Nearest(Best):
+        def __init__(self, left: Block):
+            super().__init__(left, left.column("k"))
+
+        def add(self, right: Block, i: np.ndarray, j: np.ndarray, cos: np.ndarray) -> None:
+            super().add(right, i, j, np.round(cos, 6))
+
+    # a cosine counts as it is rounded
+    found = vector_join.fold_pairs(packed, LEAST_COSINE - 5e-7, Nearest, "id string, other string, score double")
+    both = found.select(F.col("id").alias("a"), F.col("other").alias("b"), F.round("score", 6).alias("cosine")).filter(F.col("cosine") >= LEAST_COSINE).join(v.select(F.col("id").alias("a"), "namespace"), "a")
     r = F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))
     near = both.withColumn("r", r).join(k, "namespace").filter(F.col("r") <= F.col("k")).select("a", "b", "cosine")
     one, two = near.filter("a < b"), near.filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"))
