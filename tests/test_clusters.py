@@ -132,3 +132,16 @@ def test_no_edges_give_no_clusters(spark, monkeypatch):
     assert knowledge.label_propagation(none).collect() == []
     monkeypatch.setattr(knowledge, "pair_scores", lambda *a, **k: none)
     assert knowledge.memory_clusters(spark, "").collect() == []
+
+
+def test_a_label_without_inner_edges_is_no_cluster(spark, monkeypatch):
+    class Given:
+        def __init__(self, edges):
+            self.numbers = spark.createDataFrame([(f"n{k}", k) for k in range(6)], "id string, k bigint")
+
+        def members(self):
+            return spark.createDataFrame([(0, 0, 1.0, 2), (1, 0, 0.5, 1), (2, 0, 0.5, 1), (3, 3, 0.0, 0), (4, 3, 0.0, 0), (5, 3, 0.0, 0)], "k bigint, label bigint, s double, c bigint")
+
+    monkeypatch.setattr(knowledge, "pair_scores", lambda *a, **k: spark.createDataFrame([("n0", "n1", 0.5)], "a string, b string, score double"))
+    monkeypatch.setattr(knowledge, "Graph", Given)
+    assert [tuple(r) for r in knowledge.memory_clusters(spark, "").collect()] == [("n0", 3, 0.5, "n0", ["n0", "n1", "n2"])]
